@@ -1,6 +1,13 @@
 """Column expressions; all of them stay in built-in functions."""
 
-from quern.functions.exact import exact_sum
+from quern.functions.exact import exact_sum, sum_of_units, units
 from quern.functions.moments import micros_between, utc_instant, utc_wall_clock
 
-__all__ = ["exact_sum", "micros_between", "utc_instant", "utc_wall_clock"]
+__all__ = [
+    "exact_sum",
+    "micros_between",
+    "sum_of_units",
+    "units",
+    "utc_instant",
+    "utc_wall_clock",
+]

@@ -55,12 +55,12 @@ def _from_cells(
     through = F.sum("_sum").over(
         by_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
     )
-    wanted = (
-        totals.withColumn("_at", (F.sum("_sum").over(by_key) - 1) * F.lit(float(q)))
-        .withColumn("_before", through - F.col("_sum"))
-        .filter((low < F.col("_before") + F.col("_sum")) & (high >= F.col("_before")))
-        .drop("_sum")
-    )
+    totals = totals.withColumns(
+        {"_of": F.sum("_sum").over(by_key), "_before": through - F.col("_sum")}
+    ).withColumn("_at", (F.col("_of") - 1) * F.lit(float(q)))
+    holds = (low < F.col("_before") + F.col("_sum")) & (high >= F.col("_before"))
+    # A key with nothing but nulls has no ranks; its one row is kept for it.
+    wanted = totals.filter(holds | (F.col("_of") == 0)).drop("_sum", "_of")
 
     ranked = with_running_sum(
         join_small(cells, wanted, scope, "inner").withColumnRenamed(CHUNK, "_part"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import exact_sum
+from quern.functions import exact_sum, sum_of_units, units
 from quern.operators import cube_of, rollup_of, without_match
 from quern.sources import table
 
@@ -75,34 +75,35 @@ def local_supplier_revenue(spark: SparkSession, folder: str) -> DataFrame:
         .select("n_nationkey", "n_name")
     )
     customer = table(spark, folder, "customer").join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey")
+        nation, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi"
     )
     orders = table(spark, folder, "orders").filter(
         (F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00'"))
         & (F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'"))
     )
+    # Orders are cut down to the region's before they meet the lines, and lines
+    # to three numbers before they are shuffled.
     bought = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "n_nationkey", "n_name"
+        "o_orderkey", "c_nationkey"
     )
-    # Summed per supplier and nation before suppliers are joined: that is the
-    # table's last wide shuffle, and it carries no lines.
+    price = (F.col("l_extendedprice"), 2)
+    kept = (F.lit(1.0) - F.col("l_discount"), 2)
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_suppkey", units(price, kept).alias("paid")
+    )
+    # Summed per supplier and nation, so that the supplier join carries no lines.
     per_supplier = (
-        table(spark, folder, "lineitem")
-        .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_suppkey", "n_nationkey", "n_name")
-        .agg(
-            exact_sum(
-                (F.col("l_extendedprice"), 2), (F.lit(1.0) - F.col("l_discount"), 2)
-            ).alias("revenue")
-        )
+        lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("l_suppkey", "c_nationkey")
+        .agg(sum_of_units(F.col("paid"), 4).alias("revenue"))
     )
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    local = (F.col("l_suppkey") == F.col("s_suppkey")) & (
+        F.col("c_nationkey") == F.col("s_nationkey")
+    )
     return (
-        per_supplier.join(
-            supplier,
-            (F.col("l_suppkey") == F.col("s_suppkey"))
-            & (F.col("n_nationkey") == F.col("s_nationkey")),
-        )
+        per_supplier.join(supplier, local)
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("n_name")
         .agg(F.sum("revenue").cast("double").alias("revenue"))
     )

@@ -1,0 +1,60 @@
+"""Every registered query against its SQL, on whole tables."""
+
+from __future__ import annotations
+
+import inspect
+
+import pytest
+from conftest import DATA, duck, rows_of, rows_of_sql
+
+import __spark_entry__ as contract
+from quern.plans import QUERIES, SQL
+
+SAME_TYPE = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+@pytest.mark.parametrize("name", QUERIES)
+def test_same_rows(spark, name, sf):
+    folder = f"{DATA}/sf{sf}"
+    expected = rows_of_sql(duck(folder), SQL[name])
+    assert expected
+    assert rows_of(QUERIES[name](spark, folder)) == expected
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_same_columns_and_types(spark, name):
+    folder = f"{DATA}/sf0.001"
+    described = duck(folder).execute(f"DESCRIBE {SQL[name]}").fetchall()
+    expected = {row[0]: row[1] for row in described}
+    found = {c: SAME_TYPE[t] for c, t in QUERIES[name](spark, folder).dtypes}
+    assert found == expected
+
+
+SPLITTING = [n for n, q in QUERIES.items() if "rows_per_task" in inspect.signature(q).parameters]
+
+
+@pytest.mark.parametrize("rows_per_task", [6, 100])
+@pytest.mark.parametrize("name", SPLITTING)
+def test_same_rows_when_keys_are_split(spark, name, rows_per_task):
+    folder = f"{DATA}/sf0.001"
+    found = QUERIES[name](spark, folder, rows_per_task=rows_per_task)
+    assert rows_of(found) == rows_of_sql(duck(folder), SQL[name])
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_session_time_zone_does_not_matter(spark, settings, name):
+    folder = f"{DATA}/sf0.001"
+    settings(spark__sql__session__timeZone="America/New_York")
+    assert rows_of(QUERIES[name](spark, folder)) == rows_of_sql(duck(folder), SQL[name])
+
+
+def test_contract(spark):
+    assert contract.entry(spark).count() == 25
+    assert contract.queries().keys() == contract.oracle_sql().keys()
