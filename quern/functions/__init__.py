@@ -1,11 +1,19 @@
 """Column expressions; all of them stay in built-in functions."""
 
 from quern.functions.exact import exact_sum, sum_of_units, units
-from quern.functions.moments import micros_between, utc_instant, utc_wall_clock
+from quern.functions.moments import (
+    hour_of,
+    micros_between,
+    seconds_of,
+    utc_instant,
+    utc_wall_clock,
+)
 
 __all__ = [
     "exact_sum",
+    "hour_of",
     "micros_between",
+    "seconds_of",
     "sum_of_units",
     "units",
     "utc_instant",

@@ -37,3 +37,17 @@ def micros_between(earlier: Column, later: Column) -> Column:
     """Microseconds from one ``timestamp_ntz`` to another, as a bigint."""
     seconds = (later - earlier).cast("interval second").cast("decimal(18,6)")
     return (seconds * F.lit(1_000_000)).cast("bigint")
+
+
+def seconds_of(wall_clock: Column) -> Column:
+    """Whole seconds of a ``timestamp_ntz`` since 1970, as a bigint."""
+    days = F.unix_date(wall_clock.cast("date")).cast("bigint")
+    minutes = (days * 24 + F.hour(wall_clock)) * 60 + F.minute(wall_clock)
+    return minutes * 60 + F.second(wall_clock)
+
+
+def hour_of(wall_clock: Column) -> Column:
+    """The start of the hour of a ``timestamp_ntz``; unlike ``window``, null for null."""
+    zero = F.lit(0)
+    second = F.extract(F.lit("SECOND"), wall_clock)
+    return wall_clock - F.make_dt_interval(zero, zero, F.minute(wall_clock), second)

@@ -13,21 +13,26 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.sources import write_through
 
 #: Rows of one key that one task may sort.
-ROWS_PER_TASK = 20_000_000
+ROWS_PER_TASK = 5_000_000
 
 #: Bounds on what is collected and broadcast: one row per hot key or per chunk.
 MAX_HOT_KEYS = 100_000
-MAX_CHUNKS = 20_000
+MAX_CHUNKS = 10_000
 
 CHUNK = "_chunk"
 
 
+def ascending(columns: list[str]) -> list[Column]:
+    """The one order used here: nulls come last."""
+    return [F.col(c).asc_nulls_last() for c in columns]
+
+
 def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     """Broadcast ``small`` and join on ``on``, where null matches null."""
     renamed = {c: f"_small_{c}" for c in on}
@@ -75,7 +80,7 @@ def in_chunks(
     them again could cut elsewhere.
     """
     parts = min(MAX_CHUNKS, max(1, math.ceil(rows / rows_per_task)))
-    cut = df.repartitionByRange(parts, *keys, *order)
+    cut = df.repartitionByRange(parts, *ascending([*keys, *order]))
     return write_through(cut.withColumn(CHUNK, F.spark_partition_id()))
 
 
@@ -87,16 +92,17 @@ def with_prior(
     ``df`` is either plain rows or the result of :func:`in_chunks`.
     """
     if CHUNK not in df.columns:
-        by_key = Window.partitionBy(*keys).orderBy(*order)
+        by_key = Window.partitionBy(*keys).orderBy(*ascending(order))
         return df.withColumns({n: F.lag(c).over(by_key) for n, c in columns.items()})
     scope = [*keys, CHUNK]
-    in_chunk = Window.partitionBy(*scope).orderBy(*order)
+    in_chunk = Window.partitionBy(*scope).orderBy(*ascending(order))
     carry = F.struct(*(F.col(c).alias(n) for n, c in columns.items()))
     # What the last row of each (key, chunk) hands to the key's next chunk.
     before = Window.partitionBy(*keys).orderBy(CHUNK)
+    rank = F.struct(*(part for c in order for part in (F.col(c).isNull(), F.col(c))))
     handed = (
         df.groupBy(*scope)
-        .agg(F.max_by(carry, F.struct(*order)).alias("_last"))
+        .agg(F.max_by(carry, rank).alias("_last"))
         .select(*scope, F.lag("_last").over(before).alias("_handed"))
     )
     rows = df.withColumns(
@@ -118,7 +124,7 @@ def with_running_sum(
     ``df`` is either plain rows or the result of :func:`in_chunks`.
     """
     scope = [*keys, CHUNK] if CHUNK in df.columns else keys
-    so_far = Window.partitionBy(*scope).orderBy(*order)
+    so_far = Window.partitionBy(*scope).orderBy(*ascending(order))
     rows = df.withColumn(
         name, F.sum(source).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,54 +27,68 @@ def exact_quantile(
 ) -> DataFrame:
     """The ``q`` quantile of ``value`` per key, interpolated between two rows.
 
-    ``percentile`` keeps every distinct value of a key in one task's memory, so
-    it serves only keys that are not hot. For the others the values are counted,
-    the counts are cut into ordered chunks, and only the chunks that hold the
-    two wanted ranks are looked into. Nulls do not count; a key with nothing
-    but nulls gets a null.
+    ``percentile`` would hold every distinct value of a key in one task's
+    memory. Here equal values are counted first, and a window, which can spill,
+    ranks the counts. The counts of hot keys are cut into ordered chunks, and
+    only the chunks that hold the two wanted ranks are looked into. Nulls do not
+    count; a key with nothing but nulls gets a null.
     """
     cold, hot, hot_rows = split_by_load(df.select(*keys, value), keys, rows_per_task)
-    result = None
+    n = F.count(value).alias("_n")
+    parts = []
     if cold is not None:
-        result = cold.groupBy(*keys).agg(F.percentile(value, q).alias(name))
+        cells = cold.groupBy(*keys, value).agg(n)
+        parts.append(_pick(_ranked(cells, keys, value, q), keys, value, name))
     if hot is not None:
-        cells = hot.groupBy(*keys, value).agg(F.count(value).alias("_n"))
+        cells = hot.groupBy(*keys, value).agg(n)
         cells = in_chunks(cells, keys, [value], hot_rows, rows_per_task)
-        of_hot = _from_cells(cells, keys, value, q, name)
-        result = of_hot if result is None else result.unionByName(of_hot)
-    return result
+        parts.append(_pick(_ranked_in_chunks(cells, keys, value, q), keys, value, name))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _position(count: Column, q: float) -> Column:
+    return (count - 1) * F.lit(float(q))
+
 
+def _ranked(cells: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """Cells with ``_upto``, the rows up to and with each, and ``_at``."""
+    count = F.sum("_n").over(Window.partitionBy(*keys))
+    ranked = with_running_sum(cells, keys, [value], "_n", "_upto")
+    return ranked.withColumn("_at", _position(count, q))
 
-def _from_cells(
-    cells: DataFrame, keys: list[str], value: str, q: float, name: str
+
+def _ranked_in_chunks(
+    cells: DataFrame, keys: list[str], value: str, q: float
 ) -> DataFrame:
+    """As :func:`_ranked`, for just the chunks that matter."""
     scope = [*keys, CHUNK]
-    low, high = F.floor("_at"), F.ceil("_at")
-
-    # One row per (key, chunk); ranks count from 0.
-    totals = cells.groupBy(*scope).agg(F.sum("_n").alias("_sum"))
     by_key = Window.partitionBy(*keys)
     through = F.sum("_sum").over(
         by_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
     )
-    totals = totals.withColumns(
-        {"_of": F.sum("_sum").over(by_key), "_before": through - F.col("_sum")}
-    ).withColumn("_at", (F.col("_of") - 1) * F.lit(float(q)))
-    holds = (low < F.col("_before") + F.col("_sum")) & (high >= F.col("_before"))
-    # A key with nothing but nulls has no ranks; its one row is kept for it.
-    wanted = totals.filter(holds | (F.col("_of") == 0)).drop("_sum", "_of")
-
-    ranked = with_running_sum(
-        join_small(cells, wanted, scope, "inner").withColumnRenamed(CHUNK, "_part"),
-        [*keys, "_part"],
-        [value],
-        "_n",
-        "_upto",
+    # One row per (key, chunk).
+    totals = (
+        cells.groupBy(*scope)
+        .agg(F.sum("_n").alias("_sum"))
+        .withColumns({"_of": F.sum("_sum").over(by_key), "_through": through})
+        .withColumn("_at", _position(F.col("_of"), q))
+        .withColumn("_before", F.col("_through") - F.col("_sum"))
     )
-    end = F.col("_before") + F.col("_upto")
+    holds = (F.floor("_at") < F.col("_through")) & (F.ceil("_at") >= F.col("_before"))
+    # A key with nothing but nulls has no ranks; its one row is kept for it.
+    wanted = totals.filter(holds | (F.col("_of") == 0)).select(*scope, "_at", "_before")
+
+    rows = join_small(cells, wanted, scope, "inner").withColumnRenamed(CHUNK, "_part")
+    ranked = with_running_sum(rows, [*keys, "_part"], [value], "_n", "_within")
+    return ranked.withColumn("_upto", F.col("_before") + F.col("_within"))
+
+
+def _pick(ranked: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    low, high = F.floor("_at"), F.ceil("_at")
 
     def at(rank: Column) -> Column:
-        here = (rank >= end - F.col("_n")) & (rank < end)
+        # Ranks count from 0.
+        here = (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
         return F.max(F.when(here, F.col(value)))
 
     found = ranked.groupBy(*keys).agg(

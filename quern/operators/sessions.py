@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import micros_between
+from quern.functions import micros_between, seconds_of
 from quern.operators.ordered import ROWS_PER_TASK, by_load, with_prior, with_running_sum
 from quern.sources import write_through
 
@@ -28,10 +28,18 @@ def sessions(
     two events in one slot are less than a gap apart and so always share a
     session. A key then has at most (time span / gap) rows to put in order,
     however many events it has.
+
+    ``gap`` is whole seconds. A key's events without a time, which
+    ``session_window`` drops, come out as one row without times.
     """
-    micros = gap // timedelta(microseconds=1)
-    slot = F.window(ts, f"{micros} microseconds").start
-    slots = df.groupBy(key, slot.alias("_slot")).agg(
+    seconds, rest = divmod(gap, timedelta(seconds=1))
+    if seconds < 1 or rest:
+        raise ValueError("the gap must be a whole number of seconds")
+    micros = seconds * 1_000_000
+    second = seconds_of(F.col(ts))
+    slots = df.groupBy(
+        key, (second - F.pmod(second, F.lit(seconds))).alias("_slot")
+    ).agg(
         F.min(ts).alias("first_ts"),
         F.max(ts).alias("last_ts"),
         *(m.alias(name) for name, m in measures.items()),

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import exact_sum
+from quern.functions import exact_sum, hour_of
 from quern.operators import sessions
 from quern.operators.ordered import ROWS_PER_TASK
 from quern.sources import table
@@ -19,7 +19,7 @@ def hourly_event_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events and their value per hour and type."""
     return (
         table(spark, folder, "events")
-        .groupBy(F.window("ts", "1 hour").start.alias("hour"), "event_type")
+        .groupBy(hour_of(F.col("ts")).alias("hour"), "event_type")
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             exact_sum((F.col("value"), 2)).cast("double").alias("total_value"),

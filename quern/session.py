@@ -24,6 +24,8 @@ def local_session(
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
+        # Hash joins where AQE sees that every partition's hash table is small.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     )
     for key, value in (conf or {}).items():
         builder = builder.config(key, value)

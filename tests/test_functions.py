@@ -6,7 +6,14 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import exact_sum, micros_between, utc_instant, utc_wall_clock
+from quern.functions import (
+    exact_sum,
+    hour_of,
+    micros_between,
+    seconds_of,
+    utc_instant,
+    utc_wall_clock,
+)
 
 
 def test_exact_sum_of_amounts_and_products(spark):
@@ -41,11 +48,20 @@ def test_wall_clocks_survive_clock_changes(spark, settings, zone):
     clocks += [datetime(1969, 12, 31, 23, 0, 0, 1), datetime(2024, 11, 3, 1, 30)]
     df = spark.createDataFrame([(c,) for c in clocks], "c timestamp_ntz")
     instant = utc_instant(F.col("c"))
-    found = df.select("c", utc_wall_clock(instant).alias("w"), F.unix_micros(instant).alias("m"))
+    clock = F.col("c")
+    found = df.select(
+        "c",
+        utc_wall_clock(instant).alias("w"),
+        F.unix_micros(instant).alias("m"),
+        seconds_of(clock).alias("s"),
+        hour_of(clock).alias("h"),
+    )
     epoch = datetime(1970, 1, 1)
     for row in found.collect():
         assert row["w"] == row["c"]
         assert row["m"] == (row["c"] - epoch) // timedelta(microseconds=1)
+        assert row["s"] == (row["c"] - epoch) // timedelta(seconds=1)
+        assert row["h"] == row["c"].replace(minute=0, second=0, microsecond=0)
 
 
 def test_micros_between(spark, settings):

@@ -50,7 +50,30 @@ def test_a_pause_of_just_the_gap(spark, rows_per_task):
     assert sorted(r["n"] for r in found.collect()) == [1, 3]
 
 
-def test_rows_without_a_time_and_no_rows(spark):
-    df = spark.createDataFrame([("a", None), ("a", START)], "u string, ts timestamp_ntz")
-    assert [tuple(r) for r in by_slots(df, 10).collect()] == [("a", START, START, 1)]
-    assert by_slots(df.filter("false"), 10).collect() == []
+@pytest.mark.parametrize("rows_per_task", [10, 1])
+def test_rows_without_a_time(spark, rows_per_task):
+    rows = [("a", None), ("a", START), ("a", None), ("b", None)]
+    df = spark.createDataFrame(rows, "u string, ts timestamp_ntz")
+    found = {tuple(r) for r in by_slots(df, rows_per_task).collect()}
+    assert found == {("a", START, START, 1), ("a", None, None, 2), ("b", None, None, 1)}
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "u string, ts timestamp_ntz")
+    assert by_slots(df, 10).collect() == []
+
+
+def test_times_before_1970(spark):
+    early = datetime(1969, 12, 31, 23, 40)
+    rows = [("a", early + timedelta(minutes=m)) for m in (0, 25, 50, 81)]
+    df = spark.createDataFrame(rows, "u string, ts timestamp_ntz")
+    found = by_slots(df, 10)
+    assert rows_of(found) == rows_of(by_session_window(df))
+    assert sorted(r["n"] for r in found.collect()) == [1, 3]
+
+
+def test_gaps_must_be_whole_seconds(spark):
+    df = spark.createDataFrame([], "u string, ts timestamp_ntz")
+    for gap in (timedelta(0), timedelta(milliseconds=1500), timedelta(seconds=-1)):
+        with pytest.raises(ValueError):
+            sessions(df, "u", "ts", gap, {})
