@@ -2,7 +2,6 @@
 
 from quern.functions.exact import exact_sum, sum_of_units, units
 from quern.functions.moments import (
-    hour_of,
     micros_between,
     seconds_of,
     utc_instant,
@@ -11,7 +10,6 @@ from quern.functions.moments import (
 
 __all__ = [
     "exact_sum",
-    "hour_of",
     "micros_between",
     "seconds_of",
     "sum_of_units",

@@ -40,14 +40,9 @@ def micros_between(earlier: Column, later: Column) -> Column:
 
 
 def seconds_of(wall_clock: Column) -> Column:
-    """Whole seconds of a ``timestamp_ntz`` since 1970, as a bigint."""
-    days = F.unix_date(wall_clock.cast("date")).cast("bigint")
-    minutes = (days * 24 + F.hour(wall_clock)) * 60 + F.minute(wall_clock)
-    return minutes * 60 + F.second(wall_clock)
+    """Whole seconds of a ``timestamp_ntz`` since the year 1, as a bigint.
 
-
-def hour_of(wall_clock: Column) -> Column:
-    """The start of the hour of a ``timestamp_ntz``; unlike ``window``, null for null."""
-    zero = F.lit(0)
-    second = F.extract(F.lit("SECOND"), wall_clock)
-    return wall_clock - F.make_dt_interval(zero, zero, F.minute(wall_clock), second)
+    Counted from there because the cast to bigint cuts towards zero.
+    """
+    start = F.expr("TIMESTAMP_NTZ '0001-01-01 00:00:00'")
+    return (wall_clock - start).cast("interval second").cast("bigint")

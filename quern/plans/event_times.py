@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import exact_sum, hour_of
+from quern.functions import exact_sum
 from quern.operators import sessions
 from quern.operators.ordered import ROWS_PER_TASK
 from quern.sources import table
@@ -16,14 +16,21 @@ SESSION_GAP = timedelta(hours=6)
 
 
 def hourly_event_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Events and their value per hour and type."""
+    """Events and their value per hour and type; those without a time are kept."""
+    zero = F.lit(0)
+    start = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(zero, F.col("hour"))
     return (
         table(spark, folder, "events")
-        .groupBy(hour_of(F.col("ts")).alias("hour"), "event_type")
+        .groupBy(
+            F.col("ts").cast("date").alias("day"),
+            F.hour("ts").alias("hour"),
+            "event_type",
+        )
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             exact_sum((F.col("value"), 2)).cast("double").alias("total_value"),
         )
+        .select(start.alias("hour"), "event_type", "n_events", "total_value")
     )
 
 

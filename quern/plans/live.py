@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.sources import stream_table
 from quern.streaming import hourly_counts, run_to_table
 
+#: The state has a row per open hour and type, however many events there are.
+STATE_PARTITIONS = 32
+
 
 def hourly_event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events and their value per hour and type, for the hours that are over.
 
     An hour is over once an event a full hour past its end has been seen.
     """
-    return run_to_table(hourly_counts(stream_table(spark, folder, "events")))
+    events = stream_table(spark, folder, "events")
+    return run_to_table(hourly_counts(events), state_partitions=STATE_PARTITIONS)
 
 
 QUERIES = {"hourly_event_stream": hourly_event_stream}

@@ -12,7 +12,8 @@ def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Count and value per hour and type; events up to ``delay`` late are counted.
 
     The state holds one row per open hour and type. Each task sums its own rows
-    first, so a busy hour or type is one row per task in the shuffle.
+    first, so a busy hour or type is one row per task in the shuffle. An event
+    without a time is in no hour and not counted.
     """
     return (
         events.withColumn("at", utc_instant(F.col("ts")))

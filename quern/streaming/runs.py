@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from quern.sources import shared_folder
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+@contextmanager
+def _at_most(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    before = spark.conf.get(_PARTITIONS)
+    if partitions is not None and partitions < int(before):
+        spark.conf.set(_PARTITIONS, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(_PARTITIONS, before)
 
-def run_to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
+
+def run_to_table(
+    stream: DataFrame, folder: str | None = None, state_partitions: int | None = None
+) -> DataFrame:
     """Read all that is there, append the finished rows to Parquet, return that table.
 
     Offsets, state and output are kept under ``folder``, by default a new one
     in the shared folder. A run that is cut short can be started again with the
     same ``folder``: it goes on from the last committed batch, and the file sink
     counts no batch twice. So can a finished one, when there is more to read.
+
+    Every batch commits every state partition, used or not, so a stream with
+    little state should name a bound; the session's setting is for batch
+    shuffles. The number stays what it was in the first run.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", f"{folder}/progress")
         .option("path", f"{folder}/rows")
         .trigger(availableNow=True)
-        .start()
     )
+    # A stream takes a copy of the session's settings when it starts.
+    with _at_most(spark, state_partitions):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -85,3 +86,14 @@ def test_the_same_numbers_as_in_batch(spark):
     stream = QUERIES["hourly_event_stream"](spark, folder)
     batch = QUERIES["hourly_event_counts"](spark, folder)
     assert stream.exceptAll(batch).count() == 0
+
+
+def test_a_stream_with_little_state_has_few_partitions(spark, settings, tmp_path):
+    settings(spark__sql__shuffle__partitions="200")
+    events = stream_table(spark, f"{DATA}/sf0.001", "events")
+    folder = str(tmp_path / "run")
+    found = run_to_table(hourly_counts(events), folder, state_partitions=3)
+    assert len([p for p in os.listdir(f"{folder}/progress/state/0") if p.isdigit()]) == 3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    settings(spark__sql__shuffle__partitions="4")
+    assert rows_of(found) == rows_of(QUERIES["hourly_event_stream"](spark, f"{DATA}/sf0.001"))
