@@ -2,10 +2,11 @@
 
 BENCH_SF_DIR   tables to read        (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores           (default 8)
-BENCH_REPEATS  timed runs per query  (default 3, after one that is not timed)
+BENCH_REPEATS  timed rounds          (default 3, after one that is not timed)
 
-A query's time is the median of its runs, from building the plan to the last
-row being computed; results go to a sink that drops them.
+Every round runs every query once. A query's time is the median over the timed
+rounds, from building the plan to the last row being computed; results go to a
+sink that drops them.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ def main() -> None:
     cores = int(os.environ.get("BENCH_CPUS", "8"))
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = local_session(cores, "quern-bench")
-    times = {}
-    for name, query in QUERIES.items():
-        seconds(query, spark, folder)
-        runs = [seconds(query, spark, folder) for _ in range(repeats)]
-        times[name] = round(statistics.median(runs), 3)
+    rounds = [
+        {name: seconds(query, spark, folder) for name, query in QUERIES.items()}
+        for _ in range(1 + repeats)
+    ]
     spark.stop()
+    times = {
+        name: round(statistics.median(r[name] for r in rounds[1:]), 3) for name in QUERIES
+    }
     sf = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(
