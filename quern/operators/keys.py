@@ -35,7 +35,9 @@ def top_per_key(
     """The first ``k`` rows of each key, with their rank from 1.
 
     ``order`` must be total. The filter on ``row_number`` lets Spark cut each
-    key to ``k`` rows within each map task, before the shuffle.
+    key to ``k`` rows within each map task, before the shuffle. It does so for
+    ``k`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 unless
+    set; raise that for more, or a hot key's rows all go to one task.
     """
     by_key = Window.partitionBy(key).orderBy(*order)
     ranked = df.withColumn(rank, F.row_number().over(by_key))

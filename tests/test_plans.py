@@ -84,33 +84,36 @@ def test_subtotals_expand_cells_not_rows(spark):
     assert "HashAggregate" in below
 
 
-def _final_plan(df) -> str:
-    df.collect()
-    return plan_of(df)
-
-
-def test_a_hot_order_is_split_in_the_line_join(spark, settings, tmp_path):
-    """One order with a third of all lines must not end up in one task."""
-    source = f"{DATA}/sf0.01"
-    folder = str(tmp_path)
-    for name in ("region", "nation", "customer", "supplier", "orders"):
-        table(spark, source, name).write.parquet(f"{folder}/{name}.parquet")
-    keys = table(spark, source, "orders").filter("year(o_orderdate) = 1996")
-    hot = keys.join(table(spark, source, "customer"), F.expr("o_custkey = c_custkey"))
-    hot_key = hot.filter("c_nationkey = 2").agg(F.min("o_orderkey")).first()[0]
-    split = F.when(F.hash("l_extendedprice") % 3 == 0, hot_key).otherwise(F.col("l_orderkey"))
-    lines = table(spark, source, "lineitem").withColumn("l_orderkey", split.cast("bigint"))
-    lines.repartition(8).write.parquet(f"{folder}/lineitem.parquet")
+@pytest.mark.parametrize(
+    "name, key, other", [("lineitem", "l_orderkey", "l_extendedprice"), ("orders", "o_custkey", "o_totalprice")]
+)
+def test_a_hot_key_is_split_in_the_fact_joins(spark, settings, tmp_path, name, key, other):
+    """A key with a third of all rows must not end up in one task."""
+    source, folder = f"{DATA}/sf0.01", str(tmp_path)
+    # A key whose rows stay in the result: the right years, nation and region.
+    orders = table(spark, source, "orders").filter("year(o_orderdate) = 1996")
+    bought = orders.join(table(spark, source, "customer"), F.expr("o_custkey = c_custkey"))
+    kept = bought.filter("c_nationkey = 2").agg(F.min("o_orderkey"), F.min("o_custkey")).first()
+    hot = kept[0] if name == "lineitem" else kept[1]
+    for each in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
+        df = table(spark, source, each)
+        if each == name:
+            third = F.abs(F.hash(other)) % 3 == 0
+            value = F.when(third, F.lit(hot)).otherwise(F.col(key))
+            df = df.withColumn(key, value.cast("bigint")).repartition(16)
+        df.write.parquet(f"{folder}/{each}.parquet")
     query = QUERIES["local_supplier_revenue"]
     plain = rows_of(query(spark, folder))
     settings(
         spark__sql__autoBroadcastJoinThreshold="5000",
         spark__sql__adaptive__autoBroadcastJoinThreshold="5000",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="20000",
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="50000",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="10000",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="12000",
         spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
         spark__sql__shuffle__partitions="16",
     )
     skewed = query(spark, folder)
-    assert "skew=true" in _final_plan(skewed)
-    assert rows_of(skewed) == plain
+    found = rows_of(skewed)
+    assert found == plain
+    joins = re.findall(r"\w+Join\(skew=true\) \[(\w+)#", plan_of(skewed))
+    assert key in joins

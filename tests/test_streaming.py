@@ -61,6 +61,22 @@ def test_late_events_count_until_their_hour_is_out(feed):
     assert [r for r in feed.run() if r[0] == 0] == [(0, 2, 2.2)]
 
 
+def test_a_batch_cut_short_is_not_counted_twice(feed, tmp_path):
+    feed.arrive(1, 2)
+    feed.run()
+    feed.arrive(200, 400)
+    before = feed.run()
+    assert before == [(0, 2, 2.2), (3, 1, 1.1)]
+    # As if the run had ended after writing its rows and before noting so.
+    commits = tmp_path / "run" / "progress" / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    for name in (f"{last}", f".{last}.crc", f"{last - 1}", f".{last - 1}.crc"):
+        (commits / name).unlink()
+    assert feed.run() == before
+    feed.arrive(600)
+    assert feed.run() == [*before, (6, 1, 1.1)]
+
+
 def test_one_run_over_a_backlog_out_of_order_loses_nothing(feed):
     feed.arrive(500)
     feed.arrive(1)
