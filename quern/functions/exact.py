@@ -18,8 +18,8 @@ _LOW_BITS = 20
 def units(*factors: tuple[Column, int]) -> Column:
     """The product of amounts as a whole number of its smallest unit, a bigint.
 
-    Each factor is ``(column, decimals)``; the unit has as many decimals as the
-    factors together.
+    Each factor is ``(column, decimals)``, and is rounded to those decimals if it
+    has more; the unit has as many decimals as the factors together.
     """
     product = None
     for column, decimals in factors:
