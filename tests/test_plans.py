@@ -85,7 +85,11 @@ def test_subtotals_expand_cells_not_rows(spark):
 
 
 @pytest.mark.parametrize(
-    "name, key, other", [("lineitem", "l_orderkey", "l_extendedprice"), ("orders", "o_custkey", "o_totalprice")]
+    "name, key, other",
+    [
+        ("lineitem", "l_orderkey", "l_extendedprice"),
+        ("orders", "o_custkey", "o_totalprice"),
+    ],
 )
 def test_a_hot_key_is_split_in_the_fact_joins(spark, settings, tmp_path, name, key, other):
     """A key with a third of all rows must not end up in one task."""

@@ -30,9 +30,11 @@ def rough(spark, tmp_path_factory):
                 continue
             value = F.col(column)
             if column == HOT.get(name):
-                value = F.when(F.hash(*df.columns) % 3 == 0, F.lit(5).cast("bigint")).otherwise(value)
+                third = F.hash(*df.columns) % 3 == 0
+                value = F.when(third, F.lit(5).cast("bigint")).otherwise(value)
             if name not in ("region", "nation"):
-                value = F.when(F.abs(F.hash(*df.columns, F.lit(i))) % 23 != 0, value)
+                kept = F.abs(F.hash(*df.columns, F.lit(i))) % 23 != 0
+                value = F.when(kept, value)
             columns[column] = value
         df = df.withColumns(columns)
         if name == "lineitem":

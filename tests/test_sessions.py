@@ -32,8 +32,9 @@ def by_slots(df, rows_per_task):
 @pytest.mark.parametrize("rows_per_task", [10**6, 60, 20])
 def test_same_as_session_window(spark, rows_per_task):
     rng = random.Random(8)
+    users = ["hot", "hot", None, *"abcdefgh"]
     rows = [
-        (rng.choice(["hot", "hot", None, *"abcdefgh"]), START + timedelta(seconds=rng.randrange(500_000)))
+        (rng.choice(users), START + timedelta(seconds=rng.randrange(500_000)))
         for _ in range(3000)
     ]
     df = spark.createDataFrame(rows, "u string, ts timestamp_ntz")
