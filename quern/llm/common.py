@@ -27,6 +27,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition into as many partitions as the session shuffles into.
+
+    The number is given because otherwise small partitions would be joined together; here
+    they are small in bytes and long in work.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *columns)
+
+
 def rows_in_structs(docs: DataFrame) -> Column:
     """All columns of a row as one struct, to be unpacked by :func:`unpacked`."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW)

@@ -1,8 +1,30 @@
 """All queries of this subpackage, by the names the driver calls them."""
 
-from quern.llm import line_rules, mixing, packing, repeats, simhash
+from quern.llm import (
+    chat,
+    licenses,
+    line_rules,
+    mixing,
+    packing,
+    repeats,
+    simhash,
+    sketches,
+    toxicity,
+    wrappers,
+)
 
-_MODULES = (simhash, packing, line_rules, mixing, repeats)
+_MODULES = (
+    simhash,
+    toxicity,
+    packing,
+    line_rules,
+    mixing,
+    chat,
+    wrappers,
+    sketches,
+    licenses,
+    repeats,
+)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

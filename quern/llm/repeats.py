@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ROW, documents, rows_in_structs, runs, text_of
+from quern.llm.common import ROW, dealt, documents, rows_in_structs, runs, text_of
 from quern.sources import write_through
 
 #: Bytes of a repeated string, and of an anchor.
@@ -421,7 +421,7 @@ def covered(texts: DataFrame, window: int, gram: int, per_shard: int) -> DataFra
         .withColumn("sub", F.pmod(F.xxhash64("context"), F.col("shards")).cast("int"))
     )
     sorted_ = write_through(
-        bodies.repartition("h", "sub")
+        dealt(bodies, "h", "sub")
         .sortWithinPartitions("h", "sub")
         .mapInPandas(
             _sorted_shards(window, gram, SORTED),

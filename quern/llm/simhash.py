@@ -30,7 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ROW, components, documents, rows_in_structs, runs, text_of, unpacked
+from quern.llm.common import (
+    ROW,
+    components,
+    dealt,
+    documents,
+    rows_in_structs,
+    runs,
+    text_of,
+    unpacked,
+)
 from quern.sources import write_through
 
 #: Words of a shingle, and the bits in which linked fingerprints may differ.
@@ -172,7 +181,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> Da
         )
     )
     return (
-        work.repartition("key", "i", "j")
+        dealt(work, "key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
         .mapInPandas(_links_of(max_bits), "a long, b long")
     )
@@ -188,10 +197,13 @@ def grouped(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     members = groups.join(prints, groups["node"] == prints["fp"])
     firsts = members.groupBy("root").agg(F.min("first").alias("component"))
     named = groups.join(firsts, "root").select(F.col("node").alias("fp"), "root", "component")
-    return prints.join(named, "fp", "left").select(
-        "fp",
-        F.coalesce("root", "fp").alias("root"),
-        F.coalesce("component", "first").alias("component"),
+    # Written, so that the join with it is a plain one, whose hot keys Spark can split.
+    return write_through(
+        prints.join(named, "fp", "left").select(
+            "fp",
+            F.coalesce("root", "fp").alias("root"),
+            F.coalesce("component", "first").alias("component"),
+        )
     )
 
 
