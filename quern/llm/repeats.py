@@ -42,13 +42,16 @@ WINDOW = 200
 GRAM = 32
 
 #: Contexts of one anchor that one shard takes, and contexts sorted at a time.
-PER_SHARD = 4_000
+PER_SHARD = 50_000
 SORTED = 16_000
 
 #: Digests of a bucket of the merge, on average.
 PER_BUCKET = 5_000
 
+#: Bytes hashed at a time, and rows that tasks gather before they pass them on.
 _BLOCK = 1 << 19
+_ROWS = 50_000
+
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -257,29 +260,42 @@ def _placed(window: int, gram: int):
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest, side = xxhash.xxh3_64_intdigest, window - gram
+
+        def table(parts: list[tuple]) -> pd.DataFrame:
+            n = [len(p[2]) for p in parts]
+            whole = lambda i: np.concatenate([p[i] for p in parts])
+            each = lambda i: np.repeat(np.array([p[i] for p in parts]), n)
+            return pd.DataFrame(
+                {
+                    "h": whole(2).view(np.int64),
+                    "context": whole(3).view(np.int64),
+                    "tid": each(0),
+                    "size": each(1),
+                    "pos": whole(4),
+                    "copies": each(5),
+                }
+            )
+
         for frame in frames:
+            parts, rows = [], 0
             for tid, size, text, copies in zip(
-                frame["tid"], frame["size"], frame["text"], frame["copies"]
+                frame["tid"].tolist(), frame["size"].tolist(), frame["text"], frame["copies"].tolist()
             ):
                 body = text.encode()
                 at, mark = anchors(body, window, gram)
-                lows = np.maximum(at - side, 0).tolist()
-                places = at.tolist()
+                lows, places = np.maximum(at - side, 0).tolist(), at.tolist()
                 context = np.fromiter(
                     (digest(body[a : p + window], p - a) for a, p in zip(lows, places)),
                     np.uint64,
                     len(places),
                 )
-                yield pd.DataFrame(
-                    {
-                        "h": mark.view(np.int64),
-                        "context": context.view(np.int64),
-                        "tid": tid,
-                        "size": size,
-                        "pos": at,
-                        "copies": copies,
-                    }
-                )
+                parts.append((tid, size, mark, context, at, copies))
+                rows += len(at)
+                if rows > _ROWS:
+                    yield table(parts)
+                    parts, rows = [], 0
+            if parts:
+                yield table(parts)
 
     return over
 
@@ -289,15 +305,20 @@ def _bodies(window: int, gram: int):
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         side = window - gram
+        names = ["h", "context", "once", "shards", "before", "body"]
         for frame in frames:
+            out: list[tuple] = []
             for text, wanted in zip(frame["text"], frame["wanted"]):
-                body, out = text.encode(), []
+                body = text.encode()
                 for w in wanted:
-                    low = max(0, w["pos"] - side)
-                    out.append(
-                        (w["h"], w["context"], w["once"], w["shards"], w["pos"] - low, body[low : w["pos"] + window])
-                    )
-                yield pd.DataFrame(out, columns=["h", "context", "once", "shards", "before", "body"])
+                    at = w["pos"]
+                    low = max(0, at - side)
+                    own = body[low : at + window]
+                    out.append((w["h"], w["context"], w["once"], w["shards"], at - low, own))
+                if len(out) > _ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     return over
 
@@ -322,13 +343,17 @@ def _sorted_shards(window: int, gram: int, at_once: int):
         hi = np.full(len(part), -1, dtype=np.int64)
         digests: list[tuple] = []
         for o, have, key in repeated_windows(left, right, bodies, window, gram):
-            values, first, at, count = np.unique(
-                key, return_index=True, return_inverse=True, return_counts=True
-            )
-            twice = have[count[at] > 1]
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+            heads = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            alone = heads & np.concatenate([heads[1:], [True]])
+            twice = have[order[~alone]]
             lo[twice] = np.maximum(lo[twice], o)
             hi[twice] = np.maximum(hi[twice], window - o)
-            for i in have[first[spread[have[first]]]].tolist():
+            if not spread.any():
+                continue
+            first = have[order[heads]]
+            for i in first[spread[first]].tolist():
                 start = int(left[i]) - o
                 # With its place around the anchor: a window is also in other contexts.
                 place = b"%d %d " % (h[i], o)
