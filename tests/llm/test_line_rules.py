@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+from itertools import product
+
+import numpy as np
+from quern.llm import line_rules
+from tests.llm.rough import no_documents, rough_documents, small_documents
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often, marked = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if often[w] > 1:
+            marked.update(range(i, i + 5))
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    failed = len(words) < 10 or 100 * len(marked) > 20 * len(words)
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    return (len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(marked), failed)
+
+
+def check(docs):
+    got = line_rules.verdicts(docs, line_rules.train([], [])).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    rows = docs.select("doc_id", "text").collect()
+    wanted = sorted(((r.doc_id, *counts(r.text)) for r in rows), key=repr)
+    assert sorted(((r.doc_id, *(r[n] for n in names)) for r in got), key=repr) == wanted
+    assert not any(r.kept and r.base_failed for r in got)
+
+
+def test_small_table(spark):
+    check(small_documents(spark))
+
+
+def test_rough_rows(spark):
+    docs = rough_documents(spark)
+    check(docs)
+    kept = line_rules.only_kept(docs, line_rules.train([], []))
+    assert kept.columns == docs.columns
+
+
+def test_empty_tables(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    weights = line_rules.fit(no_documents(spark), labels)
+    assert weights["emit"] == list(line_rules.PRIOR.values())
+    assert line_rules.verdicts(no_documents(spark), weights).count() == 0
+
+
+def test_viterbi_finds_the_best_labelling():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        scores, stay = rng.normal(0, 1.5, 7), float(rng.normal(0.5, 1))
+        value = lambda y: sum(s for s, one in zip(scores, y) if one) + stay * sum(
+            a == b for a, b in zip(y, y[1:])
+        )
+        best = max(value(y) for y in product((0, 1), repeat=7))
+        assert abs(value(line_rules.viterbi(scores, stay).astype(int).tolist()) - best) < 1e-9
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (2, 4, len(line_rules.PRIOR)))
+    y, real = np.array([[0, 1, 1, 0], [1, 1, 0, 0]]), np.array([[1, 1, 1, 1], [1, 1, 0, 0]], dtype=bool)
+    weights = rng.normal(0, 0.5, len(line_rules.PRIOR) + 1)
+
+    def likelihood(w):
+        total = 0.0
+        for r in range(2):
+            n = int(real[r].sum())
+            emit = x[r, :n] @ w[:-1]
+            value = lambda z: (emit * z).sum() + w[-1] * (z[1:] == z[:-1]).sum()
+            every = [value(np.array(z)) for z in product((0, 1), repeat=n)]
+            total += value(y[r, :n]) - np.logaddexp.reduce(every)
+        return total
+
+    slope = line_rules._slope(x, y, real, weights)
+    for i in range(len(weights)):
+        step = np.zeros_like(weights)
+        step[i] = 1e-5
+        assert abs((likelihood(weights + step) - likelihood(weights - step)) / 2e-5 - slope[i]) < 1e-5
+
+
+def test_verdicts_follow_the_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = line_rules.op4_line_quality_rules(spark, folder).join(labels, "doc_id").collect()
+    clean = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
+    junk = [r.kept for r in rows if r.quality == 0]
+    assert sum(clean) >= 0.99 * len(clean) and sum(junk) <= 0.1 * len(junk)
