@@ -137,9 +137,11 @@ def fit_weights(
     rate = labels.mean() if len(labels) else 0.0
     bias = math.log((rate + 1e-3) / (1 - rate + 1e-3))
     ahead, ahead_bias = weights.copy(), bias
-    # A step that suits the steepest feature and the longest text on average.
-    width = max(1.0, len(cols) / n) + (4.0 * COUNTERFACTUAL if pairs else 0.0)
-    step = 4.0 / (width + 1.0)
+    # The traces of the curvatures bound how fast the slope can change.
+    bound = (len(cols) / n + 1.0) / 4.0 + RIDGE
+    if pairs:
+        bound += 2.0 * COUNTERFACTUAL * max(1.0, len(pair_cols) / len(change))
+    step = 1.0 / bound
     for i in range(steps):
         z = _sums(ahead, rows, cols, len(own)) + ahead_bias
         error = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - labels
