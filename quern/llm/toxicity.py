@@ -53,7 +53,7 @@ IDENTITY_TERMS = [
     ["black", "white", "asian", "latino", "indigenous"],
     ["immigrants", "refugees", "foreigners", "natives"],
     ["frauen", "männer", "mädchen", "jungen"],
-    ["muslime", "christen", "juden", "hindus"],
+    ["muslime", "christen", "juden", "buddhisten"],
     ["ausländer", "flüchtlinge", "einwanderer"],
     ["femmes", "hommes", "filles", "garçons"],
     ["musulmans", "chrétiens", "juifs", "hindous"],
