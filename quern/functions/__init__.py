@@ -1,6 +1,6 @@
 """Column expressions; all of them stay in built-in functions."""
 
-from quern.functions.exact import exact_sum, sum_of_units, units
+from quern.functions.exact import amount, exact_sum, shown, sum_of_amounts
 from quern.functions.moments import (
     micros_between,
     seconds_of,
@@ -9,11 +9,12 @@ from quern.functions.moments import (
 )
 
 __all__ = [
+    "amount",
     "exact_sum",
     "micros_between",
     "seconds_of",
-    "sum_of_units",
-    "units",
+    "shown",
+    "sum_of_amounts",
     "utc_instant",
     "utc_wall_clock",
 ]

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import exact_sum
+from quern.functions import exact_sum, shown
 from quern.operators import sessions
 from quern.operators.ordered import ROWS_PER_TASK
 from quern.sources import table
@@ -28,7 +28,7 @@ def hourly_event_counts(spark: SparkSession, folder: str) -> DataFrame:
         )
         .agg(
             F.count(F.lit(1)).alias("n_events"),
-            exact_sum((F.col("value"), 2)).cast("double").alias("total_value"),
+            shown(exact_sum((F.col("value"), 2))).alias("total_value"),
         )
         .select(start.alias("hour"), "event_type", "n_events", "total_value")
     )
@@ -45,17 +45,23 @@ def user_sessions(
     events = table(spark, folder, "events")
     return sessions(
         events, "user_id", "ts", SESSION_GAP, measures, rows_per_task
-    ).withColumn("total_value", F.col("total_value").cast("double"))
+    ).withColumn("total_value", shown(F.col("total_value")))
 
 
 def events_per_property(spark: SparkSession, folder: str) -> DataFrame:
-    """Events and their value per value of one property in their JSON."""
+    """Events and their value per value of one property in their JSON.
+
+    A property that is no whole number of a bigint's range, and one of malformed JSON,
+    counts as missing.
+    """
+    k = F.get_json_object("props", "$.k")
+    whole = F.when(k.rlike("^[+-]?[0-9]+$"), k.try_cast("bigint"))
     return (
         table(spark, folder, "events")
-        .groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+        .groupBy(whole.alias("k"))
         .agg(
             F.count(F.lit(1)).alias("n_events"),
-            exact_sum((F.col("value"), 2)).cast("double").alias("total_value"),
+            shown(exact_sum((F.col("value"), 2))).alias("total_value"),
         )
     )
 
@@ -70,7 +76,7 @@ SQL = {
     "hourly_event_counts": """
         SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type,
                count(*) AS n_events,
-               sum(value::DECIMAL(12, 2))::DOUBLE AS total_value
+               sum((CASE WHEN isfinite(value) THEN value END)::DECIMAL(18, 6))::DOUBLE AS total_value
         FROM events
         GROUP BY 1, 2
     """,
@@ -89,15 +95,17 @@ SQL = {
                min(ts) AS first_ts,
                max(ts) AS last_ts,
                count(*) AS n_events,
-               sum(value::DECIMAL(12, 2))::DOUBLE AS total_value
+               sum((CASE WHEN isfinite(value) THEN value END)::DECIMAL(18, 6))::DOUBLE AS total_value
         FROM numbered
         GROUP BY user_id, session_no
     """,
     "events_per_property": """
-        SELECT json_extract_string(props, '$.k')::BIGINT AS k,
+        SELECT CASE WHEN regexp_full_match(k, '[+-]?[0-9]+') THEN TRY_CAST(k AS BIGINT) END AS k,
                count(*) AS n_events,
-               sum(value::DECIMAL(12, 2))::DOUBLE AS total_value
-        FROM events
+               sum((CASE WHEN isfinite(value) THEN value END)::DECIMAL(18, 6))::DOUBLE AS total_value
+        FROM (SELECT value,
+                     CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k
+              FROM events)
         GROUP BY 1
     """,
 }

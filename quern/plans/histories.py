@@ -48,7 +48,7 @@ def previous_event(
 
 
 def latest_order_as_of(spark: SparkSession, folder: str) -> DataFrame:
-    """Each customer's latest order up to a date."""
+    """The latest order up to a date, of the customers with one by then."""
     orders = (
         table(spark, folder, "orders")
         .filter(F.col("o_orderdate") <= F.expr("TIMESTAMP_NTZ '1998-06-30 00:00:00'"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import exact_sum, sum_of_units, units
+from quern.functions import amount, exact_sum, shown, sum_of_amounts
 from quern.operators import cube_of, rollup_of, without_match
 from quern.sources import table
 
@@ -34,7 +34,7 @@ def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
         "l_linestatus",
         "n_lines",
         *(
-            F.col(name).cast("double").alias(name)
+            shown(F.col(name)).alias(name)
             for name in ("quantity", "price", "discounted", "charged")
         ),
         F.round(mean_discount, 6).alias("mean_discount"),
@@ -61,7 +61,7 @@ def orders_per_nation(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("n_name")
         .agg(
             F.sum("n").alias("n_orders"),
-            F.sum("total").cast("double").alias("total_price"),
+            shown(F.sum("total")).alias("total_price"),
         )
     )
 
@@ -89,15 +89,19 @@ def local_supplier_revenue(spark: SparkSession, folder: str) -> DataFrame:
     price = (F.col("l_extendedprice"), 2)
     kept = (F.lit(1.0) - F.col("l_discount"), 2)
     lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_suppkey", units(price, kept).alias("paid")
+        "l_orderkey", "l_suppkey", amount(price, kept).alias("paid")
     )
     # Summed per supplier and nation, so that the supplier join carries no lines.
     per_supplier = (
         lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("l_suppkey", "c_nationkey")
-        .agg(sum_of_units(F.col("paid"), 4).alias("revenue"))
+        .agg(sum_of_amounts(F.col("paid"), 4, factors=2).alias("revenue"))
+    )
+    supplier = (
+        table(spark, folder, "supplier")
+        .select("s_suppkey", "s_nationkey")
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     )
-    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     local = (F.col("l_suppkey") == F.col("s_suppkey")) & (
         F.col("c_nationkey") == F.col("s_nationkey")
     )
@@ -105,7 +109,7 @@ def local_supplier_revenue(spark: SparkSession, folder: str) -> DataFrame:
         per_supplier.join(supplier, local)
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("n_name")
-        .agg(F.sum("revenue").cast("double").alias("revenue"))
+        .agg(shown(F.sum("revenue")).alias("revenue"))
     )
 
 
@@ -120,7 +124,7 @@ def orders_without_lines(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("o_orderpriority")
         .agg(
             F.count(F.lit(1)).alias("n_orders"),
-            exact_sum((F.col("o_totalprice"), 2)).cast("double").alias("total_price"),
+            shown(exact_sum((F.col("o_totalprice"), 2))).alias("total_price"),
         )
     )
 
@@ -139,7 +143,7 @@ def order_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Orders per status and priority, per status, and in all."""
     orders = table(spark, folder, "orders")
     return rollup_of(orders, _DIMENSIONS, _order_measures()).withColumn(
-        "total_price", F.col("total_price").cast("double")
+        "total_price", shown(F.col("total_price"))
     )
 
 
@@ -147,7 +151,7 @@ def order_cube(spark: SparkSession, folder: str) -> DataFrame:
     """Orders per status and priority, and every subtotal of those."""
     orders = table(spark, folder, "orders")
     return cube_of(orders, _DIMENSIONS, _order_measures()).withColumn(
-        "total_price", F.col("total_price").cast("double")
+        "total_price", shown(F.col("total_price"))
     )
 
 
@@ -177,11 +181,11 @@ SQL = {
     "pricing_summary": """
         WITH line AS (
             SELECT l_returnflag, l_linestatus,
-                   l_quantity::DECIMAL(12, 2) AS qty,
-                   l_extendedprice::DECIMAL(12, 2) AS price,
-                   1 - l_discount::DECIMAL(4, 2) AS kept,
-                   1 + l_tax::DECIMAL(4, 2) AS taxed,
-                   l_discount::DECIMAL(4, 2) AS discount
+                   (CASE WHEN isfinite(l_quantity) THEN l_quantity END)::DECIMAL(18, 6) AS qty,
+                   (CASE WHEN isfinite(l_extendedprice) THEN l_extendedprice END)::DECIMAL(18, 6) AS price,
+                   (1 - (CASE WHEN isfinite(l_discount) THEN l_discount END)::DECIMAL(8, 6))::DECIMAL(8, 6) AS kept,
+                   (1 + (CASE WHEN isfinite(l_tax) THEN l_tax END)::DECIMAL(8, 6))::DECIMAL(8, 6) AS taxed,
+                   (CASE WHEN isfinite(l_discount) THEN l_discount END)::DECIMAL(8, 6) AS discount
             FROM lineitem
             WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'
         )
@@ -189,8 +193,8 @@ SQL = {
                count(*) AS n_lines,
                sum(qty)::DOUBLE AS quantity,
                sum(price)::DOUBLE AS price,
-               sum(price * kept)::DOUBLE AS discounted,
-               sum(price * kept * taxed)::DOUBLE AS charged,
+               sum(price * kept)::DECIMAL(38, 6)::DOUBLE AS discounted,
+               sum(price * kept * taxed)::DECIMAL(38, 6)::DOUBLE AS charged,
                round(sum(discount)::DOUBLE / count(*), 6) AS mean_discount
         FROM line
         GROUP BY l_returnflag, l_linestatus
@@ -198,7 +202,7 @@ SQL = {
     "orders_per_nation": """
         SELECT n_name,
                count(*) AS n_orders,
-               sum(o_totalprice::DECIMAL(12, 2))::DOUBLE AS total_price
+               sum((CASE WHEN isfinite(o_totalprice) THEN o_totalprice END)::DECIMAL(18, 6))::DOUBLE AS total_price
         FROM nation
         JOIN customer ON c_nationkey = n_nationkey
         JOIN orders ON o_custkey = c_custkey
@@ -206,8 +210,9 @@ SQL = {
     """,
     "local_supplier_revenue": """
         SELECT n_name,
-               sum(l_extendedprice::DECIMAL(12, 2)
-                   * (1 - l_discount::DECIMAL(4, 2)))::DOUBLE AS revenue
+               sum((CASE WHEN isfinite(l_extendedprice) THEN l_extendedprice END)::DECIMAL(18, 6)
+                   * (1 - (CASE WHEN isfinite(l_discount) THEN l_discount END)::DECIMAL(8, 6))::DECIMAL(8, 6)
+               )::DECIMAL(38, 6)::DOUBLE AS revenue
         FROM region
         JOIN nation ON n_regionkey = r_regionkey
         JOIN customer ON c_nationkey = n_nationkey
@@ -222,7 +227,7 @@ SQL = {
     "orders_without_lines": """
         SELECT o_orderpriority,
                count(*) AS n_orders,
-               sum(o_totalprice::DECIMAL(12, 2))::DOUBLE AS total_price
+               sum((CASE WHEN isfinite(o_totalprice) THEN o_totalprice END)::DECIMAL(18, 6))::DOUBLE AS total_price
         FROM orders
         WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
         GROUP BY o_orderpriority
@@ -231,7 +236,7 @@ SQL = {
         SELECT o_orderstatus, o_orderpriority,
                GROUPING(o_orderstatus, o_orderpriority)::BIGINT AS level,
                count(*) AS n_orders,
-               sum(o_totalprice::DECIMAL(12, 2))::DOUBLE AS total_price
+               sum((CASE WHEN isfinite(o_totalprice) THEN o_totalprice END)::DECIMAL(18, 6))::DOUBLE AS total_price
         FROM orders
         GROUP BY ROLLUP (o_orderstatus, o_orderpriority)
     """,
@@ -239,7 +244,7 @@ SQL = {
         SELECT o_orderstatus, o_orderpriority,
                GROUPING(o_orderstatus, o_orderpriority)::BIGINT AS level,
                count(*) AS n_orders,
-               sum(o_totalprice::DECIMAL(12, 2))::DOUBLE AS total_price
+               sum((CASE WHEN isfinite(o_totalprice) THEN o_totalprice END)::DECIMAL(18, 6))::DOUBLE AS total_price
         FROM orders
         GROUP BY CUBE (o_orderstatus, o_orderpriority)
     """,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import exact_sum, utc_instant, utc_wall_clock
+from quern.functions import exact_sum, shown, utc_instant, utc_wall_clock
 
 
 def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -21,7 +21,7 @@ def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         .groupBy(F.window("at", "1 hour"), "event_type")
         .agg(
             F.count(F.lit(1)).alias("n_events"),
-            exact_sum((F.col("value"), 2)).cast("double").alias("total_value"),
+            shown(exact_sum((F.col("value"), 2))).alias("total_value"),
         )
         .select(
             utc_wall_clock(F.col("window.start")).alias("hour"),

@@ -67,3 +67,29 @@ def test_micros_between(spark, settings):
     df = spark.createDataFrame([(a, b), (b, a), (a, None)], "a timestamp_ntz, b timestamp_ntz")
     found = [r[0] for r in df.select(micros_between(F.col("a"), F.col("b"))).collect()]
     assert found == [3_600_000_001, -3_600_000_001, None]
+
+
+def test_finer_amounts_are_summed_exactly(spark):
+    values = [0.125, 0.375, 0.125, 0.004, 0.004, 0.004, 1.005, 12345.67, -0.000001, 99999999.123456]
+    df = spark.createDataFrame([(v, 0.0625) for v in values] * 300, "a double, b double")
+    found = df.agg(
+        exact_sum((F.col("a"), 2)).alias("a"), exact_sum((F.col("a"), 2), (F.col("b"), 2)).alias("ab")
+    ).first()
+    exact = sum(Decimal(str(v)) for v in values)
+    assert found["a"] == 300 * exact
+    assert found["ab"] == 300 * exact * Decimal("0.0625")
+
+
+def test_amounts_that_are_not_finite_do_not_count(spark):
+    rows = [(1.25,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,), (0.5,)]
+    df = spark.createDataFrame(rows, "a double")
+    assert df.agg(exact_sum((F.col("a"), 2)).alias("a")).first()["a"] == Decimal("1.75")
+
+
+def test_too_many_decimals_raise_an_error_with_the_name(spark):
+    df = spark.createDataFrame([(1.0,), (1 / 3,)], "price double")
+    with pytest.raises(Exception, match="price has more than 6 decimals"):
+        df.agg(exact_sum((F.col("price"), 2)).alias("a")).collect()
+    # The error of a double is not a decimal.
+    df = spark.createDataFrame([(0.1 + 0.2,), (1.0 - 0.07,)], "price double")
+    assert df.agg(exact_sum((F.col("price"), 2)).alias("a")).first()["a"] == Decimal("1.23")
