@@ -21,9 +21,9 @@ from quern.sources import write_through
 #: Rows of one key that one task may sort.
 ROWS_PER_TASK = 5_000_000
 
-#: Bounds on what is collected and broadcast: one row per hot key or per chunk.
+#: Hot keys at most. What is collected and broadcast is a row for each of them and for
+#: each chunk, of which there is one for every ``ROWS_PER_TASK`` hot rows.
 MAX_HOT_KEYS = 100_000
-MAX_CHUNKS = 10_000
 
 CHUNK = "_chunk"
 
@@ -66,6 +66,11 @@ def split_by_load(
     return cold, join_small(df, hot_keys, keys, "left_semi"), hot_rows
 
 
+def chunk_count(rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """As many chunks as keep each at ``rows_per_task`` rows on average."""
+    return max(1, -(-rows // rows_per_task))
+
+
 def in_chunks(
     df: DataFrame,
     keys: list[str],
@@ -79,7 +84,7 @@ def in_chunks(
     sampled bounds, so they are written once and read from there; computing
     them again could cut elsewhere.
     """
-    parts = min(MAX_CHUNKS, max(1, math.ceil(rows / rows_per_task)))
+    parts = chunk_count(rows, rows_per_task)
     cut = df.repartitionByRange(parts, *ascending([*keys, *order]))
     return write_through(cut.withColumn(CHUNK, F.spark_partition_id()))
 

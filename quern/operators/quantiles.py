@@ -15,6 +15,7 @@ from quern.operators.ordered import (
     split_by_load,
     with_running_sum,
 )
+from quern.sources import write_through
 
 
 def exact_quantile(
@@ -29,19 +30,20 @@ def exact_quantile(
 
     ``percentile`` would hold every distinct value of a key in one task's
     memory. Here equal values are counted first, and a window, which can spill,
-    ranks the counts. The counts of hot keys are cut into ordered chunks, and
-    only the chunks that hold the two wanted ranks are looked into. Nulls do not
-    count; a key with nothing but nulls gets a null.
+    ranks the counts. Where a key has very many distinct values, its counts are cut
+    into ordered chunks, and only the chunks that hold the two wanted ranks are
+    looked into. Nulls do not count; a key with nothing but nulls gets a null.
     """
-    cold, hot, hot_rows = split_by_load(df.select(*keys, value), keys, rows_per_task)
-    n = F.count(value).alias("_n")
+    cells = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
+    if df.count() <= rows_per_task:  # then no key has more values
+        return _pick(_ranked(cells, keys, value, q), keys, value, name)
+    # Counted once and written, since they are read more than once below.
+    cold, hot, hot_cells = split_by_load(write_through(cells), keys, rows_per_task)
     parts = []
     if cold is not None:
-        cells = cold.groupBy(*keys, value).agg(n)
-        parts.append(_pick(_ranked(cells, keys, value, q), keys, value, name))
+        parts.append(_pick(_ranked(cold, keys, value, q), keys, value, name))
     if hot is not None:
-        cells = hot.groupBy(*keys, value).agg(n)
-        cells = in_chunks(cells, keys, [value], hot_rows, rows_per_task)
+        cells = in_chunks(hot, keys, [value], hot_cells, rows_per_task)
         parts.append(_pick(_ranked_in_chunks(cells, keys, value, q), keys, value, name))
     return reduce(DataFrame.unionByName, parts)
 

@@ -8,7 +8,8 @@ from itertools import groupby
 import pytest
 
 from quern.operators import by_load, exact_quantile, with_prior, with_running_sum
-from quern.operators.ordered import CHUNK, in_chunks, split_by_load
+from quern.operators import quantiles
+from quern.operators.ordered import CHUNK, chunk_count, in_chunks, split_by_load
 
 #: Rows per task: no key is hot; one is; many are.
 LIMITS = [10_000, 300, 8]
@@ -118,3 +119,28 @@ def test_chunks_split_a_key_evenly_and_in_order(spark):
     assert parts["count(1)"].max() < 3000
     ordered = parts.sort_values(CHUNK)["min(t)"]
     assert ordered.is_monotonic_increasing
+
+
+def test_chunks_grow_with_the_rows():
+    assert chunk_count(0) == chunk_count(5_000_000) == 1
+    assert chunk_count(5_000_001) == 2
+    assert 10**12 / chunk_count(10**12) <= 5_000_000
+
+
+def test_quantile_counts_once_and_sizes_chunks_from_the_counts(spark, monkeypatch):
+    """Many rows, few values: chunks are of values, and the table is aggregated once."""
+    df = spark.range(40_000).selectExpr("'a' AS k", "cast(id % 2000 AS double) AS v")
+    written, cut = [], []
+    through, chunks = quantiles.write_through, quantiles.in_chunks
+    monkeypatch.setattr(quantiles, "write_through", lambda d: written.append(d) or through(d))
+
+    def counted(*args):
+        cut.append(chunks(*args))
+        return cut[-1]
+
+    monkeypatch.setattr(quantiles, "in_chunks", counted)
+    found = exact_quantile(df, ["k"], "v", 0.5, "q", rows_per_task=1000)
+    assert [tuple(r) for r in found.collect()] == [("a", 999.5)]
+    assert len(written) == 1 and len(cut[0].inputFiles()) <= 2000 // 1000 + 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan  # what follows reads the written counts only
