@@ -1,6 +1,6 @@
 """Reading tables and streams, and the shared folder for written intermediates."""
 
-from quern.sources.shared import shared_folder, write_through
+from quern.sources.shared import kept_in, remove, shared_folder, write_through
 from quern.sources.tables import stream_table, table
 
-__all__ = ["shared_folder", "stream_table", "table", "write_through"]
+__all__ = ["kept_in", "remove", "shared_folder", "stream_table", "table", "write_through"]

@@ -1,6 +1,6 @@
 """Structured Streaming jobs."""
 
 from quern.streaming.hourly import hourly_counts
-from quern.streaming.runs import run_to_table
+from quern.streaming.runs import run_to_table, session_for
 
-__all__ = ["hourly_counts", "run_to_table"]
+__all__ = ["hourly_counts", "run_to_table", "session_for"]

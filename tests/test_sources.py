@@ -5,7 +5,8 @@ import os
 import pytest
 from conftest import DATA, TABLES, rows_of
 
-from quern.sources import shared_folder, table, write_through
+from quern.plans import QUERIES
+from quern.sources import kept_in, remove, shared_folder, table, write_through
 from quern.sources.tables import SCHEMAS
 
 
@@ -35,6 +36,7 @@ class _Session:
         self.values = conf
         self.sparkContext = self
         self.master = master
+        self.applicationId = f"app-{id(self)}"
 
     def getConf(self):
         return self
@@ -57,3 +59,15 @@ def test_a_local_session_without_one_gets_a_folder_of_its_own():
     session = _Session("local[2]")
     first, second = shared_folder(session), shared_folder(session)
     assert os.path.dirname(first) == os.path.dirname(second) and first != second
+    assert not session.values  # the session's settings are the caller's
+
+
+def test_intermediates_can_be_named_and_removed(spark, tmp_path):
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before, folder = set(os.listdir(base)), str(tmp_path / "mine")
+    with kept_in(folder):
+        found = QUERIES["previous_event"](spark, f"{DATA}/sf0.001", rows_per_task=20)
+    assert os.listdir(folder) and set(os.listdir(base)) == before
+    assert found.count() == 1000  # readable until they are removed
+    remove(spark, folder)
+    assert not os.path.exists(folder)

@@ -9,7 +9,7 @@ from conftest import DATA, rows_of
 from quern.plans import QUERIES
 from quern.sources import stream_table, table
 from quern.sources.tables import SCHEMAS
-from quern.streaming import hourly_counts, run_to_table
+from quern.streaming import hourly_counts, run_to_table, session_for
 
 START = datetime(2024, 1, 1)
 
@@ -106,10 +106,28 @@ def test_the_same_numbers_as_in_batch(spark):
 
 def test_a_stream_with_little_state_has_few_partitions(spark, settings, tmp_path):
     settings(spark__sql__shuffle__partitions="200")
-    events = stream_table(spark, f"{DATA}/sf0.001", "events")
+    own = session_for(spark, 3)
+    # Queries that are planned while the stream starts and runs see no other setting.
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    assert own.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert own.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    events = stream_table(own, f"{DATA}/sf0.001", "events")
     folder = str(tmp_path / "run")
-    found = run_to_table(hourly_counts(events), folder, state_partitions=3)
+    found = run_to_table(hourly_counts(events), folder, spark=spark)
     assert len([p for p in os.listdir(f"{folder}/progress/state/0") if p.isdigit()]) == 3
+    assert spark.range(10).repartition("id").groupBy("id").count().sparkSession is spark
     assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
     settings(spark__sql__shuffle__partitions="4")
     assert rows_of(found) == rows_of(QUERIES["hourly_event_stream"](spark, f"{DATA}/sf0.001"))
+
+
+def test_state_partitions_are_the_sessions_unless_fewer_are_asked_for(spark):
+    assert session_for(spark) is spark
+    assert session_for(spark, 1_000_000) is spark
+
+
+def test_a_stream_in_batches_from_the_query(spark):
+    source = f"{DATA}/sf0.001"
+    whole = rows_of(QUERIES["hourly_event_stream"](spark, source))
+    few = QUERIES["hourly_event_stream"](spark, source, state_partitions=2, max_bytes_per_batch=1)
+    assert rows_of(few) == whole
