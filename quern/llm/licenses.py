@@ -26,6 +26,9 @@ GRAM = 3
 NEIGHBOURS = 3
 COVER = 0.8
 
+#: Score of a text with a phrase and no copy.
+PHRASE_SCORE = 0.5
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases that are labels by themselves.
@@ -212,7 +215,8 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ``n_base`` counts the places of the phrases, ``first_word`` and ``last_word`` are
     their smallest and largest word, null without any; ``base_labels`` are their labels and
     ``labels`` also those of copied templates. ``score`` is the largest share of a
-    template covered by a copy, 0 without one. Null texts have no words. Rows with equal
+    template covered by a copy, at least :data:`PHRASE_SCORE` where a phrase stands, else
+    0. Null texts have no words. Rows with equal
     keys or texts are returned as they come; an empty table gives an empty result.
     """
     body = text_of(text)
@@ -231,7 +235,9 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.array_join(
             F.array_sort(F.array_union(base, F.coalesce("own", F.array().cast("array<string>")))), ","
         ).alias("labels"),
-        F.coalesce("cover", F.lit(0.0)).alias("score"),
+        F.greatest(
+            F.coalesce("cover", F.lit(0.0)), F.when(F.col("p.n_base") > 0, PHRASE_SCORE).otherwise(0.0)
+        ).alias("score"),
     )
 
 

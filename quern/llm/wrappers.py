@@ -298,12 +298,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         host.alias("host"),
         F.xxhash64("page_id", "url").alias("mark"),
+        F.monotonically_increasing_id().alias("row"),  # parts rows that are repeated
     )
     tasks = max(1, -(-pages.count() // (2 * GROUP)))
     return (
-        rows.repartitionByRange(tasks, "host", "mark")
+        rows.repartitionByRange(tasks, "host", "mark", "row")
         .sortWithinPartitions("host", "mark", "html")
-        .drop("mark")
+        .drop("mark", "row")
         .mapInPandas(_pages, "page_id string, url string, text string")
         .select(
             F.col("page_id").cast(pages.schema["page_id"].dataType).alias("page_id"),
