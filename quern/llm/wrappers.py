@@ -31,6 +31,9 @@ GROUP_CHARS = 16_000_000
 LEAST_PAGES = 5
 CONSTANT = 0.8
 
+#: Pages of a task, at most on average.
+TASK_PAGES = 8_192
+
 #: Elements nested deeper than this are taken as text of their parents.
 DEPTH = 400
 
@@ -300,7 +303,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
         F.xxhash64("page_id", "url").alias("mark"),
         F.monotonically_increasing_id().alias("row"),  # parts rows that are repeated
     )
-    tasks = max(1, -(-pages.count() // (2 * GROUP)))
+    total = pages.count()
+    # As many tasks as the session shuffles into, if there are groups for all of them, or
+    # more where tasks would get long. Spark samples keys for each of them.
+    usual = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(usual, total // GROUP), -(-total // TASK_PAGES))
     return (
         rows.repartitionByRange(tasks, "host", "mark", "row")
         .sortWithinPartitions("host", "mark", "html")
