@@ -247,4 +247,58 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"op9_license_scan": op9_license_scan}
-SQL: dict[str, str] = {}
+
+
+def _sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    table = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(TEMPLATES))
+    split = (
+        "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+        "'abcdefghijklmnopqrstuvwxyz'), '" + WORD + "')"
+    )
+    stands = []
+    for phrase, label in PHRASES.items():
+        words = phrase.split()
+        here = " AND ".join(f"w[i + {n}] = {quoted(word)}" for n, word in enumerate(words))
+        stands.append(f"SELECT r, i - 1 AS place, {quoted(label)} AS label FROM places WHERE {here}")
+    return f"""
+WITH told AS (
+  SELECT row_number() OVER () AS r, doc_id, {split.format("coalesce(text, '')")} AS w FROM documents
+), places AS (
+  SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM told
+), base AS (
+  SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
+  FROM ({" UNION ALL ".join(stands)}) GROUP BY r
+), templates AS (
+  SELECT t, label, {split.format("text")} AS w FROM (VALUES {table}) v(t, label, text)
+), template_places AS (
+  SELECT t, label, w, len(w) AS words, unnest(range(1, len(w) - 1)) AS i FROM templates
+), hits AS (
+  SELECT p.r, q.t, q.label, q.words, q.i AS place, p.i - q.i AS diagonal
+  FROM places p JOIN template_places q
+    ON p.w[p.i] = q.w[q.i] AND p.w[p.i + 1] = q.w[q.i + 1] AND p.w[p.i + 2] = q.w[q.i + 2]
+), diagonals AS (
+  SELECT r, t, diagonal,
+         CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) <= {NEIGHBOURS}
+           THEN 0 ELSE 1 END AS s
+  FROM (SELECT DISTINCT r, t, diagonal FROM hits)
+), bands AS (
+  SELECT r, t, diagonal, sum(s) OVER (PARTITION BY r, t ORDER BY diagonal) AS band FROM diagonals
+), covers AS (
+  SELECT r, t, band, any_value(label) AS label, count(DISTINCT place + j) / any_value(words) AS cover
+  FROM (SELECT *, unnest([0, 1, 2]) AS j FROM hits JOIN bands USING (r, t, diagonal))
+  GROUP BY r, t, band
+), found AS (
+  SELECT r, list(DISTINCT label) AS labels, max(cover) AS cover FROM covers WHERE cover >= {COVER} GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base,
+       CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(
+         list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+       greatest(coalesce(f.cover, 0.0::DOUBLE), CASE WHEN b.n > 0 THEN {PHRASE_SCORE}::DOUBLE ELSE 0 END) AS score
+FROM told LEFT JOIN base b USING (r) LEFT JOIN found f USING (r)
+"""
+
+
+SQL = {"op9_license_scan": _sql()}

@@ -594,4 +594,35 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"op10_repeated_passages": op10_repeated_passages}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_repeated_passages": """
+WITH bodies AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+  SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m
+  FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM bodies)
+), twice AS (
+  SELECT r, i FROM windows WHERE m IN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1)
+), starts AS (
+  SELECT r, i,
+         CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS s
+  FROM twice
+), runs AS (
+  SELECT r, i, sum(s) OVER (PARTITION BY r ORDER BY i) AS run FROM starts
+), spans AS (
+  SELECT r, min(i) AS low, max(i) + 200 AS high FROM runs GROUP BY r, run
+), gaps AS (
+  SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM spans
+), cut AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(x) AS x, sum(high - low) AS gone, count(*) AS n,
+         string_agg(substr(x, 2 * before + 1, 2 * (low - before)), '' ORDER BY low)
+           || substr(any_value(x), 2 * max(high) + 1) AS kept
+  FROM gaps JOIN bodies USING (r)
+  GROUP BY r
+)
+SELECT b.doc_id, CAST(len(b.x) // 2 AS BIGINT) AS n_bytes,
+       CAST(coalesce(c.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(c.kept, b.x))) AS kept_sha256
+FROM bodies b LEFT JOIN cut c USING (r)
+"""
+}

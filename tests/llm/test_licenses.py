@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import pytest
 from quern.llm import licenses
+from tests.conftest import rows_of, rows_of_sql
 from tests.llm.rough import no_documents, rough_documents, small_documents
 
 WORD = re.compile(licenses.WORD)
@@ -35,6 +37,14 @@ def test_small_table(spark):
     check(small_documents(spark))
 
 
+def test_equals_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = rows_of(licenses.op9_license_scan(spark, folder))
+    assert got == rows_of_sql(connection, licenses.SQL["op9_license_scan"])
+
+
 def test_rough_rows(spark):
     check(rough_documents(spark))
 

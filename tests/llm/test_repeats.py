@@ -4,9 +4,11 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from quern.llm import repeats
+from tests.conftest import rows_of, rows_of_sql
 from tests.llm.rough import no_documents, rough_documents, small_documents
 
 
@@ -36,6 +38,14 @@ def test_small_table(spark):
     check(small_documents(spark))
 
 
+def test_equals_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = rows_of(repeats.op10_repeated_passages(spark, folder))
+    assert got == rows_of_sql(connection, repeats.SQL["op10_repeated_passages"])
+
+
 def test_rough_rows(spark):
     docs = rough_documents(spark)
     check(docs)
