@@ -24,10 +24,51 @@ _LOW_BITS = 20
 _FIRST, _OTHER = "decimal(18,6)", "decimal(9,6)"
 
 
-def _off(scaled: Column) -> Column:
-    """How far a scaled amount is from a whole number, beyond the error of a double."""
-    whole = F.rint(scaled)
-    return F.abs(scaled - whole) > F.greatest(F.lit(1e-5), F.abs(whole) * F.lit(2.3e-16))
+def _either(factors: tuple[tuple[Column, int], ...], name: str | None) -> tuple[Column, Column]:
+    """The product in whole units or else as a decimal; one of the two is null."""
+    units, finer = None, F.lit(False)
+    for column, decimals in factors:
+        scaled = column * F.lit(float(10**decimals))
+        whole = F.rint(scaled)
+        # Off by more than the error of a double; so is the infinite.
+        off = F.abs(whole) * F.lit(2.3e-16) + F.lit(1e-5)
+        finer = finer | (F.abs(scaled - whole) > off) | F.isnan(scaled)
+        whole = whole.cast("bigint")
+        units = whole if units is None else units * whole
+    exact = f"decimal(38,{FINEST * len(factors)})"
+    fine, finite, too_fine = None, F.lit(True), F.lit(False)
+    for i, (column, _) in enumerate(factors):
+        micros = column * F.lit(float(10**FINEST))
+        off = F.abs(micros) * F.lit(1e-15) + F.lit(1e-6)
+        too_fine = too_fine | (F.abs(micros - F.rint(micros)) > off)
+        finite = finite & (F.abs(column) < F.lit(float("inf")))
+        part = column.cast(_OTHER if i else _FIRST)
+        fine = part if fine is None else fine * part
+    label = name or factors[0][0]._jc.toString()
+    error = F.raise_error(F.lit(f"an amount in {label} has more than {FINEST} decimals"))
+    fine = F.when(finite, F.when(too_fine, error.cast(exact)).otherwise(fine.cast(exact)))
+    return F.when(~finer, units), F.when(finer, fine)
+
+
+def _total(units: Column, fine: Column, decimals: int, factors: int) -> Column:
+    exact, room = f"decimal(38,{FINEST * factors})", f"decimal(35,{FINEST * factors})"
+    # High and low bits apart, so that trillions of rows overflow neither sum.
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(19,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(19,0)")
+    unit = F.lit(Decimal(1).scaleb(-decimals))
+    whole = ((high * F.lit(1 << _LOW_BITS) + low) * unit).cast(f"decimal(36,{decimals})")
+    # A sum of decimals costs several times as much, even of nulls. So the decimals,
+    # rare as they are, are summed as longs too: whole part, then six digits at a time.
+    some = fine.isNotNull()
+    rest = F.sum(F.when(some, fine.cast("bigint"))).cast("decimal(20,0)").cast(room)
+    digits = fine % F.lit(Decimal(1))
+    for place in range(1, factors + 1):
+        moved = digits * F.lit(Decimal(10**FINEST))
+        piece = F.sum(F.when(some, moved.cast("bigint"))).cast("decimal(20,0)")
+        rest = rest + (piece * F.lit(Decimal(1).scaleb(-FINEST * place))).cast(room)
+        digits = moved % F.lit(Decimal(1))
+    whole, rest = whole.cast(room), rest.cast(room)
+    return F.coalesce(whole + rest, whole, rest).cast(exact)
 
 
 def amount(*factors: tuple[Column, int], name: str | None = None) -> Column:
@@ -40,53 +81,21 @@ def amount(*factors: tuple[Column, int], name: str | None = None) -> Column:
     the error of a double, raise an error that names the column (``name`` or the
     first factor's).
     """
-    columns = [F.when(F.abs(c) < F.lit(float("inf")), c) for c, _ in factors]
-    scaled = [c * F.lit(float(10**d)) for c, (_, d) in zip(columns, factors)]
-    finer = scaled[0].isNull()
-    for s in scaled:
-        finer = finer | _off(s)
-    units = None
-    for s in scaled:
-        whole = F.rint(s).cast("bigint")
-        units = whole if units is None else units * whole
-    too_fine = None
-    for c in columns:
-        micros = c * F.lit(float(10**FINEST))
-        off = F.abs(micros - F.rint(micros)) > F.lit(1e-6) + F.abs(micros) * F.lit(1e-15)
-        too_fine = off if too_fine is None else too_fine | off
-    fine = columns[0].cast(_FIRST)
-    for c in columns[1:]:
-        fine = fine * c.cast(_OTHER)
-    label = name or factors[0][0]._jc.toString()
-    error = F.raise_error(F.lit(f"an amount in {label} has more than {FINEST} decimals"))
-    fine = F.when(too_fine, error.cast(f"decimal(38,{FINEST * len(factors)})")).otherwise(fine)
-    return F.struct(
-        F.when(~finer, units).alias("units"),
-        F.when(finer, fine.cast(f"decimal(38,{FINEST * len(factors)})")).alias("fine"),
-    )
+    units, fine = _either(factors, name)
+    return F.struct(units.alias("units"), fine.alias("fine"))
 
 
 def sum_of_amounts(column: Column, decimals: int, factors: int = 1) -> Column:
     """The sum of a column of :func:`amount`, as a decimal; null of nothing but nulls.
 
-    ``decimals`` are those of the product's unit. High and low bits are summed apart as
-    longs, so that trillions of rows overflow neither sum.
+    ``decimals`` are those of the product's unit.
     """
-    units = column["units"]
-    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(19,0)")
-    low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(19,0)")
-    unit = F.lit(Decimal(1).scaleb(-decimals))
-    exact = f"decimal(38,{FINEST * factors})"
-    whole = ((high * F.lit(1 << _LOW_BITS) + low) * unit).cast(f"decimal(36,{decimals})")
-    fine = F.sum(column["fine"]).cast(exact)
-    both = (whole.cast(exact) + fine).cast(exact)
-    return F.coalesce(both, whole.cast(exact), fine)
+    return _total(column["units"], column["fine"], decimals, factors)
 
 
 def exact_sum(*factors: tuple[Column, int]) -> Column:
     """The sum of a product of amounts, exact to its last decimal (see :func:`amount`)."""
-    decimals = sum(d for _, d in factors)
-    return sum_of_amounts(amount(*factors), decimals, len(factors))
+    return _total(*_either(factors, None), sum(d for _, d in factors), len(factors))
 
 
 def shown(total: Column) -> Column:
