@@ -406,7 +406,9 @@ def covered(texts: DataFrame, window: int, gram: int, per_shard: int) -> DataFra
     ``texts``: distinct ``(tid, size, text, copies)``. Stretches overlap.
     """
     side = window - gram
-    counts = (
+    # What has been added up by a join's key is written before the join: then the join is
+    # a plain one, and Spark can split the rows of a key that very many texts have.
+    counts = write_through(
         texts.mapInPandas(_counted(window, gram), "h long, c long")
         .groupBy("h")
         .agg(F.sum("c").alias("c"))
@@ -425,7 +427,7 @@ def covered(texts: DataFrame, window: int, gram: int, per_shard: int) -> DataFra
         )
     )
     once = F.col("copies") == 1
-    open_anchors = (
+    open_anchors = write_through(
         contexts.groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"), F.max(once).alias("any"))
         .filter((F.col("n") > 1) & F.col("any"))
@@ -472,7 +474,9 @@ def covered(texts: DataFrame, window: int, gram: int, per_shard: int) -> DataFra
     wholly = contexts.filter(~once).select(
         "h", "context", F.lit(side).alias("lo"), F.lit(window).alias("hi")
     )
-    known = partly.join(wholly, ["h", "context"], "left_anti").unionByName(wholly)
+    known = write_through(
+        partly.join(wholly, ["h", "context"], "left_anti").unionByName(wholly)
+    )
     return found.join(known, ["h", "context"]).select(
         "tid",
         "size",

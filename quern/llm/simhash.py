@@ -159,7 +159,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> Da
     )
     table = prints.select("fp", packed(distance[:8]).alias("t0"), packed(distance[8:]).alias("t1"))
     cells = table.withColumn("key", F.explode(keys))
-    sizes = (
+    sizes = write_through(  # so that the join below can split a large key
         cells.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
