@@ -59,12 +59,11 @@ def _total(units: Column, fine: Column, decimals: int, factors: int) -> Column:
     whole = ((high * F.lit(1 << _LOW_BITS) + low) * unit).cast(f"decimal(36,{decimals})")
     # A sum of decimals costs several times as much, even of nulls. So the decimals,
     # rare as they are, are summed as longs too: whole part, then six digits at a time.
-    some = fine.isNotNull()
-    rest = F.sum(F.when(some, fine.cast("bigint"))).cast("decimal(20,0)").cast(room)
+    rest = F.sum(fine.cast("bigint")).cast("decimal(20,0)").cast(room)
     digits = fine % F.lit(Decimal(1))
     for place in range(1, factors + 1):
         moved = digits * F.lit(Decimal(10**FINEST))
-        piece = F.sum(F.when(some, moved.cast("bigint"))).cast("decimal(20,0)")
+        piece = F.sum(moved.cast("bigint")).cast("decimal(20,0)")
         rest = rest + (piece * F.lit(Decimal(1).scaleb(-FINEST * place))).cast(room)
         digits = moved % F.lit(Decimal(1))
     whole, rest = whole.cast(room), rest.cast(room)
