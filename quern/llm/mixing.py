@@ -97,7 +97,9 @@ def _placed(docs: DataFrame, key: str, text: str, source: str, extra: list[Colum
     added up over the source: as many chunks as rows in one, so that neither grows
     faster than the square root of the table.
     """
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    # Of the key and the text, so that rows without a key are spread as well.
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(name, F.lit(" "), F.md5(text_of(text).cast("binary"))).cast("binary"))
     rows = docs.count()
     digits = max(1, math.ceil(math.log(max(rows, 1), 16) / 2))
     sized = docs.select(
@@ -106,7 +108,6 @@ def _placed(docs: DataFrame, key: str, text: str, source: str, extra: list[Colum
         _source_key(source).alias("source_key"),
         digest.alias("digest"),
         F.substring(digest, 1, digits).alias("chunk"),
-        F.xxhash64(text_of(text)).alias("mark"),
         *extra,
     )
     if not extra:
@@ -121,7 +122,7 @@ def _placed(docs: DataFrame, key: str, text: str, source: str, extra: list[Colum
     sums = sums.select(
         "source_key", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")
     ).join(plan, "source_key")
-    within = Window.partitionBy("source_key", "chunk").orderBy("digest", "id", "mark")
+    within = Window.partitionBy("source_key", "chunk").orderBy("digest", "id")
     within = within.rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("size").over(within), F.lit(0))
     return (
@@ -156,12 +157,12 @@ def mix(
     up to its target, rounded down: its last copy is taken in part where the target
     falls inside it. Null texts have size 0; rows without a source are a source of their
     own, the last; rows with equal keys are told apart by their texts, and equal rows
-    are interchangeable. The order is of hashes of the keys, so reruns agree. An empty
+    are interchangeable. The order is of hashes of keys and texts, so reruns agree. An empty
     table gives an empty result.
     """
     rows = _taken(docs, key, text, source, epochs, [])
     first = F.when(F.size("positions") > 0, F.col("positions")[0]).otherwise(2.0)
-    return rows.orderBy(first, "digest", "id", "mark").select(
+    return rows.orderBy(first, "digest", "id").select(
         F.col("id").alias(key), "size", "source_size", "target", "taken", "positions"
     )
 
@@ -229,7 +230,7 @@ SQL = {
 WITH sized AS (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(CAST(doc_id AS VARCHAR)) AS digest
+         md5(CAST(doc_id AS VARCHAR) || ' ' || md5(coalesce(text, ''))) AS digest
   FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
