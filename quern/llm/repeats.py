@@ -305,20 +305,25 @@ def _bodies(window: int, gram: int):
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         side = window - gram
-        names = ["h", "context", "once", "shards", "before", "body"]
+        lists = ["h", "context", "once", "shards", "pos"]
+
+        def table(parts: list[tuple], bodies: list[bytes]) -> pd.DataFrame:
+            columns = {c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(lists)}
+            at = columns.pop("pos")
+            columns["before"] = np.minimum(at, side)
+            return pd.DataFrame({**columns, "body": bodies})
+
         for frame in frames:
-            out: list[tuple] = []
-            for text, wanted in zip(frame["text"], frame["wanted"]):
-                body = text.encode()
-                for w in wanted:
-                    at = w["pos"]
-                    low = max(0, at - side)
-                    own = body[low : at + window]
-                    out.append((w["h"], w["context"], w["once"], w["shards"], at - low, own))
-                if len(out) > _ROWS:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            yield pd.DataFrame(out, columns=names)
+            parts, bodies = [], []
+            for row in zip(frame["text"], *(frame[c] for c in lists)):
+                body, at = row[0].encode(), row[-1]
+                bodies += [body[max(0, p - side) : p + window] for p in at.tolist()]
+                parts.append(row[1:])
+                if len(bodies) > _ROWS:
+                    yield table(parts, bodies)
+                    parts, bodies = [], []
+            if parts:
+                yield table(parts, bodies)
 
     return over
 
@@ -441,6 +446,7 @@ def covered(texts: DataFrame, window: int, gram: int, per_shard: int) -> DataFra
     bodies = (
         texts.select("tid", "size", "text")
         .join(wanted, ["tid", "size"])
+        .select("text", *(F.col(f"wanted.{c}") for c in ("h", "context", "once", "shards", "pos")))
         .mapInPandas(
             _bodies(window, gram),
             "h long, context long, once boolean, shards int, before int, body binary",
@@ -493,9 +499,10 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     for frame in frames:
         out = []
-        for tid, size, text, cuts in zip(frame["tid"], frame["size"], frame["text"], frame["cuts"]):
+        columns = (frame[c] for c in ("tid", "size", "text", "lo", "hi"))
+        for tid, size, text, lows, highs in zip(*columns):
             body, kept, end, spans, gone = text.encode(), [], 0, 0, 0
-            for low, high in sorted((c["lo"], c["hi"]) for c in cuts):
+            for low, high in zip(lows.tolist(), highs.tolist()):  # in order
                 if low > end or not spans:
                     kept.append(body[end:low])
                     spans += 1
@@ -536,7 +543,8 @@ def without_repeats(
         covered(texts, window, gram, per_shard)
         .filter(F.col("hi") - F.col("lo") >= window)
         .groupBy("tid", "size")
-        .agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+        .agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("cuts"))
+        .select("tid", "size", "cuts.lo", "cuts.hi")
     )
     return (
         texts.select("tid", "size", "text")
