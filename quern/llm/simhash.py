@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import (
@@ -187,13 +187,18 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> Da
     )
 
 
-def grouped(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def grouped(
+    prints: DataFrame, max_bits: int = MAX_BITS, linked: DataFrame | None = None
+) -> DataFrame:
     """``(fp, root, component)`` of every fingerprint of ``prints (id, fp)``.
 
-    ``root`` names the group; ``component`` is the smallest non-null id in it.
+    ``root`` names the group; ``component`` is the smallest non-null id in it. Groups are
+    those of ``linked (a, b)`` if given, else of fingerprints within ``max_bits``.
     """
     prints = write_through(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    groups = write_through(components(links(prints.select("fp"), max_bits)))
+    if linked is None:
+        linked = links(prints.select("fp"), max_bits)
+    groups = write_through(components(linked))
     members = groups.join(prints, groups["node"] == prints["fp"])
     firsts = members.groupBy("root").agg(F.min("first").alias("component"))
     named = groups.join(firsts, "root").select(F.col("node").alias("fp"), "root", "component")
@@ -243,10 +248,16 @@ def one_per_group(
     It is the row with the group's smallest key; of several rows with that key, the
     smallest row by its text and then its other columns. The columns are unchanged.
     """
-    names = docs.columns
     print_of = fingerprints(docs, text, words).alias("fp")
     own = write_through(docs.select(F.col(key).alias("id"), print_of))
-    groups = grouped(own, max_bits)
+    return one_of_each(docs, grouped(own, max_bits), print_of, key, text)
+
+
+def one_of_each(
+    docs: DataFrame, groups: DataFrame, print_of: Column, key: str, text: str
+) -> DataFrame:
+    """The first row of each of ``groups (fp, root, component)``; ``print_of`` is ``fp`` of a row."""
+    names = docs.columns
     rows = docs.select(rows_in_structs(docs), F.col(key).alias("id"), print_of)
     first = rows.join(groups, "fp").filter(F.col("id").eqNullSafe(F.col("component")))
     # Mostly one row a group by now; the aggregate also holds for many repeated rows.
