@@ -12,8 +12,9 @@ their pieces cut to fill the room that is left in the others.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import documents, runs, text_of
+from tokenizers import Tokenizer
 
 #: Tokens of a sequence, and the id that ends every document.
 LENGTH = 2048
@@ -41,15 +43,36 @@ PIECES = (
 )
 
 
-def encoder(path: str) -> tiktoken.Encoding:
-    """Byte-level BPE over the ranks in ``path``; special strings are ordinary text."""
+def encoder(path: str, added: dict[str, int] | None = None) -> tiktoken.Encoding:
+    """Byte-level BPE over the ranks in ``path``; ``added`` strings are one token each."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {}
     )
 
 
+def encoding(path: str) -> Callable[[str], list[int]]:
+    """The ids of a text as ``tokenizers`` makes them without added special tokens.
+
+    ``path`` is that of the ranks; the tokenizer's ``.json`` lies beside it. The strings
+    of its added tokens are one token each wherever they stand in a text.
+    """
+    vocabulary = path.removesuffix(".tiktoken") + ".json"
+    with open(vocabulary, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    whole = Tokenizer.from_file(vocabulary)
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens)
+    fast = encoder(path, {t["content"]: t["id"] for t in tokens})
+
+    def ids(text: str) -> list[int]:
+        if not plain:
+            return whole.encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all")
+
+    return ids
+
+
 class Rooms:
     """Free room of sequences, as a tournament tree of maxima."""
 
@@ -119,7 +142,7 @@ def _tokenised(path: str, room: int, groups: int):
     """Pieces of documents: full ones without ids, rests with theirs and a group."""
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode_ordinary
+        encode = encoding(path)
         row = 0
         for frame in frames:
             out = []
@@ -188,7 +211,11 @@ def pack(
     null keys are documents of their own. Very long texts are cut as they are read; only
     their last rest is packed. An empty table gives an empty result.
 
-    ``ranks`` is the vocabulary's file, at a path that every executor has.
+    Ids are those of ``tokenizers`` with ``add_special_tokens=False``, those of the added
+    tokens' strings included.
+
+    ``ranks`` is the vocabulary's ``.tiktoken`` file, at a path that every executor has,
+    with the tokenizer's ``.json`` beside it.
     """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     groups = max(1, -(-docs.count() // group_docs))
