@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,11 @@ GROUP_DOCS = 2048
 #: Room of fewer tokens is left as it is rather than filled with a cut piece.
 LEAST_CUT = 16
 
+#: White space of so many characters or more is left to ``tokenizers``: ``tiktoken``'s
+#: pattern runs out of stack at about a million.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
+
 #: Keys travel as strings, which keep long ones exact beside nulls.
 PIECES = (
     "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -66,7 +72,7 @@ def encoding(path: str) -> Callable[[str], list[int]]:
     fast = encoder(path, {t["content"]: t["id"] for t in tokens})
 
     def ids(text: str) -> list[int]:
-        if not plain:
+        if not plain or len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode(text, allowed_special="all")
 

@@ -16,12 +16,14 @@ TEXTS = [
     f" {END} \n {END}x <|endoftext <|endoftext|",
     *(r[1] for r in rough_rows() if r[1]),
 ]
+SPACES = ["a" + " " * 1_200_000 + "b", "\n" * 1_200_000, f"{END}" + " \t" * 600_000 + END]
+
 
 def reference():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@pytest.mark.parametrize("texts", [TEXTS], ids=["added tokens"])
+@pytest.mark.parametrize("texts", [TEXTS, SPACES], ids=["added tokens", "long white space"])
 def test_ids_are_those_of_tokenizers(spark, texts):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
     whole = [
