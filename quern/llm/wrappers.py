@@ -6,7 +6,9 @@ parents, order and tags, by dynamic programming over the children of each matche
 A node of the reference whose text is the same on nearly all pages aligned with it is
 template; nodes with varying or unaligned text are slots. A page's content is the text
 of its slots, less those in parts that are navigation, notices, adverts, forms or
-comments by their tag, role or class, and within the article where there is one.
+comments by their tag, role or class, and within the article where there is one. Names
+alone exclude neither html, body, main and article nor what contains them; an article
+that has such a name within an element that has one is a comment or the like.
 
 Pages are range-partitioned by host and a hash of the page, so a host of any size is in
 as many tasks as it needs. Pages are taken in groups of at most :data:`GROUP` of one
@@ -60,6 +62,10 @@ OTHER_NAMES = (
     "sidebar social sponsor sponsored subscribe toolbar widget widgets"
 ).split()
 
+# Elements that names alone do not exclude; the template decides there.
+WHOLE_TAGS = "html body main article".split()
+
+_WHOLE = frozenset(WHOLE_TAGS)
 _RAW, _BLOCK, _VOID = frozenset(RAW_TAGS), frozenset(BLOCK_TAGS), frozenset(VOID_TAGS)
 _TAGS, _ROLES, _NAMES = frozenset(OTHER_TAGS), frozenset(OTHER_ROLES), frozenset(OTHER_NAMES)
 _MARKUP = re.compile(
@@ -74,19 +80,37 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element with its own text, as pieces in page order."""
 
-    __slots__ = ("tag", "label", "other", "main", "parent", "children", "texts", "same", "depth")
+    __slots__ = (
+        "tag", "label", "barred", "named", "main", "parent", "children", "texts", "same", "depth"
+    )
 
-    def __init__(self, tag: str, label: str, other: bool, main: bool, parent) -> None:
-        self.tag, self.label, self.other, self.main = tag, label, other, main
+    def __init__(self, tag: str, label: str, barred: bool, named: bool, main: bool, parent) -> None:
+        self.tag, self.label, self.main = tag, label, main
+        self.barred, self.named = barred, named
         self.parent, self.children, self.texts, self.same = parent, [], [], None
         self.depth = parent.depth + 1 if parent else 0
 
+    @property
+    def other(self) -> bool:
+        """Whether it is no content: by tag or role, or a name of its own or a parent's."""
+        node = self
+        while node is not None and not node.named:
+            node = node.parent
+        return self.barred or node is not None
+
+    def release(self) -> None:
+        """Let no name alone exclude this element, nor one that contains it."""
+        node = self
+        while node is not None:
+            node.named = False
+            node = node.parent
+
 
-def _described(tag: str, rest: str) -> tuple[str, bool]:
-    """What nodes must share to match, and whether the attributes say it is no content."""
+def _described(tag: str, rest: str) -> tuple[str, bool, bool]:
+    """What nodes must share to match, and whether role or name say it is no content."""
     if not rest or "=" not in rest and "hidden" not in rest:
-        return tag, False
-    label, other = tag, False
+        return tag, False, False
+    label, other, named = tag, False, False
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         value = (a or b or c).lower()
         name = name.lower()
@@ -95,10 +119,10 @@ def _described(tag: str, rest: str) -> tuple[str, bool]:
         elif name == "hidden":
             other |= value != "until-found"
         else:
-            other |= not _NAMES.isdisjoint(re.split(r"[\s_-]+", value))
+            named |= not _NAMES.isdisjoint(re.split(r"[\s_-]+", value))
             if name == "class":
                 label += "." + value
-    return label, other
+    return label, other, named
 
 
 def tree(html: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -107,7 +131,7 @@ def tree(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     Never fails: tags that are not closed end with their parents, ends without a start
     are passed over, and a tag cut off by the end of the page is dropped.
     """
-    root = Node("", "", False, False, None)
+    root = Node("", "", False, False, False, None)
     at, blocks, pieces = root, [], []
     place, end = 0, len(html)
 
@@ -154,8 +178,8 @@ def tree(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, place)
             place = close.end() if close else end
             continue
-        label, other = _described(tag, found[3] or found[6] or "")
-        if tag not in _BLOCK and not other:
+        label, other, named = _described(tag, found[3] or found[6] or "")
+        if tag not in _BLOCK and not other and not named:
             continue
         close_block()
         if tag in _VOID or at.depth == DEPTH:
@@ -165,8 +189,12 @@ def tree(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         if at.tag == tag and tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
             at = at.parent
         inside = at.main or tag in ("article", "main")
-        other |= at.other or tag in _TAGS or (tag == "header" and not at.main)
-        node = Node(tag, label, other, inside, at)
+        other |= at.barred or tag in _TAGS or (tag == "header" and not at.main)
+        # A comment is an article as well, named as one in a list that is.
+        reply = tag == "article" and named and at.other
+        node = Node(tag, label, other, named, inside, at)
+        if tag in _WHOLE and not reply:
+            node.release()
         at.children.append(node)
         at = node
     close_block()
