@@ -163,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     ``labels (doc_id, toxic)``: rows with other labels than 0 and 1 are left out. The
     sample is chosen by a hash of the key; texts of 200,000 characters or more are scored
-    like any other, but not trained on. Without labels every score is one half.
+    like any other, but not trained on. Of rows that repeat a key the one with the smallest
+    text is trained on, once for each label the key has. Without labels every score is one half.
     """
     marked = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -174,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     texts = docs.select(F.col("doc_id").alias("k"), text_of().alias("text"))
     rows = write_through(
         texts.filter(F.length("text") < 200_000)
-        .join(F.broadcast(marked), "k")
+        .join(F.broadcast(marked.distinct()), "k")
+        .groupBy("k", "label")
+        .agg(F.min("text").alias("text"))
         .select("text", "label")
     )
     total, toxic = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
