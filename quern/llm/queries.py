@@ -2,6 +2,8 @@
 
 from quern.llm import (
     chat,
+    fill_middle,
+    hard_negatives,
     licenses,
     line_rules,
     mixing,
@@ -24,6 +26,8 @@ _MODULES = (
     sketches,
     licenses,
     repeats,
+    fill_middle,
+    hard_negatives,
 )
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
