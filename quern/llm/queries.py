@@ -8,6 +8,7 @@ from quern.llm import (
     line_rules,
     mixing,
     packing,
+    pii,
     repeats,
     simhash,
     sketches,
@@ -27,6 +28,7 @@ _MODULES = (
     licenses,
     repeats,
     fill_middle,
+    pii,
     hard_negatives,
 )
 
