@@ -6,36 +6,46 @@ parents, order and tags, by dynamic programming over the children of each matche
 A node of the reference whose text is the same on nearly all pages aligned with it is
 template; nodes with varying or unaligned text are slots. A page's content is the text
 of its slots, less those in parts that are navigation, notices, adverts, forms or
-comments by their tag, role or class, and within the article where there is one. Names
-alone exclude neither html, body, main and article nor what contains them; an article
-that has such a name within an element that has one is a comment or the like.
+comments by their tag, role or class, and within the main element or article where there
+is one.
 
-Pages are range-partitioned by host and a hash of the page, so a host of any size is in
-as many tasks as it needs. Pages are taken in groups of at most :data:`GROUP` of one
-host and every group induces its own wrapper; no task holds more pages than that.
+A class or id tells such a part if it is one of their names, or made of such a name and
+words for boxes (``cookie-notice-bar``, but not ``social-science``). Names of html, body,
+main and of what holds the page's main do not count; nor do those of a page's only article
+and of what holds it, unless it is a comment or there is more text outside of it.
+
+Pages of a host are dealt by a hash into groups of even size, of some :data:`GROUP` pages,
+and every group induces its own wrapper; no task holds more pages than a group at once. The
+groups depend on the pages alone, not on how they are partitioned.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pages (and characters of theirs) that are aligned together, and those a node must be
-#: on to be template.
-GROUP = 256
-GROUP_CHARS = 16_000_000
+from quern.llm.common import runs
+from quern.sources import write_through
+
+#: Pages (and characters of theirs) that are aligned together, about; the pages a group of a
+#: larger host has at least, about; and those that a node must be on to be template.
+GROUP = 192
+GROUP_CHARS = 12_000_000
+LEAST_GROUP = 32
 LEAST_PAGES = 5
 CONSTANT = 0.8
 
 #: Pages of a task, at most on average.
 TASK_PAGES = 8_192
 
+#: Hosts of several groups whose numbers are broadcast; if there are more, they are joined.
+BROADCAST_HOSTS = 50_000
+
 #: Elements nested deeper than this are taken as text of their parents.
 DEPTH = 400
 
@@ -62,76 +72,157 @@ OTHER_NAMES = (
     "sidebar social sponsor sponsored subscribe toolbar widget widgets"
 ).split()
 
-# Elements that names alone do not exclude; the template decides there.
-WHOLE_TAGS = "html body main article".split()
+# Names of readers' comments, and names that count outside of articles only.
+COMMENT_NAMES = "comment comments disqus replies respond".split()
+OUTSIDE_NAMES = "header footer".split()
+# Words for boxes, which go with a name in one class.
+BOX_WORDS = (
+    "area article bar block blog bottom box button buttons column container content entry form global "
+    "group holder inner item items left link links list main outer page panel post posts primary right "
+    "row secondary section side site slot text top unit wrap wrapper"
+).split()
+# Elements that are not excluded by a name of their own.
+WHOLE_TAGS = "html body main".split()
+# Raw tags whose text goes on to the end of the page if nothing ends it.
+ENDLESS_TAGS = "script style".split()
 
-_WHOLE = frozenset(WHOLE_TAGS)
+_WHOLE, _ENDLESS = frozenset(WHOLE_TAGS), frozenset(ENDLESS_TAGS)
 _RAW, _BLOCK, _VOID = frozenset(RAW_TAGS), frozenset(BLOCK_TAGS), frozenset(VOID_TAGS)
 _TAGS, _ROLES, _NAMES = frozenset(OTHER_TAGS), frozenset(OTHER_ROLES), frozenset(OTHER_NAMES)
+_COMMENT, _OUTSIDE, _BOX = frozenset(COMMENT_NAMES), frozenset(OUTSIDE_NAMES), frozenset(BOX_WORDS)
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"\s+")
+_PART = re.compile(r"[_-]+")
+_ENDS = {tag: re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I) for tag in RAW_TAGS}
 
 
 class Node:
-    """An element with its own text, as pieces in page order."""
+    """An element with its own text, as pieces in page order.
+
+    ``barred``: its tag or role (or a parent's) says that it is no content. ``names``: its
+    class or id does, by these names. ``other``: it is none, in the end.
+    """
 
     __slots__ = (
-        "tag", "label", "barred", "named", "main", "parent", "children", "texts", "same", "depth"
-    )
+        "tag", "label", "barred", "names", "main", "within", "other", "inside", "parent", "children", "texts", "same", "depth"
+    )
 
-    def __init__(self, tag: str, label: str, barred: bool, named: bool, main: bool, parent) -> None:
+    def __init__(self, tag: str, label: str, barred: bool, names: frozenset, main: bool, parent) -> None:
         self.tag, self.label, self.main = tag, label, main
-        self.barred, self.named = barred, named
+        self.barred, self.names = barred, names
+        self.within, self.other, self.inside = False, False, False
         self.parent, self.children, self.texts, self.same = parent, [], [], None
         self.depth = parent.depth + 1 if parent else 0
 
-    @property
-    def other(self) -> bool:
-        """Whether it is no content: by tag or role, or a name of its own or a parent's."""
-        node = self
-        while node is not None and not node.named:
-            node = node.parent
-        return self.barred or node is not None
+    def below(self) -> list:
+        """This element and all within it, parents first."""
+        out = [self]
+        for node in out:
+            out += node.children
+        return out
+
+    def size(self, free: bool = False) -> int:
+        """Characters of text within, or of those that nothing excludes."""
+        total, queue = 0, [self]
+        while queue:
+            node = queue.pop()
+            if free and (node.barred or node.names):
+                continue
+            total += sum(map(len, node.texts))
+            queue += node.children
+        return total
+
+    def all_names(self, top) -> frozenset:
+        """The names of this element and of those that hold it, within ``top``."""
+        out, node = self.names, self.parent
+        while node is not None and node is not top:
+            out, node = out | node.names, node.parent
+        return out
 
     def release(self) -> None:
-        """Let no name alone exclude this element, nor one that contains it."""
+        """Let no name exclude this element, nor one that contains it."""
         node = self
         while node is not None:
-            node.named = False
+            node.names = _NONE
             node = node.parent
 
 
-def _described(tag: str, rest: str) -> tuple[str, bool, bool]:
-    """What nodes must share to match, and whether role or name say it is no content."""
-    if not rest or "=" not in rest and "hidden" not in rest:
-        return tag, False, False
-    label, other, named = tag, False, False
+_NONE: frozenset = frozenset()
+
+
+def names_in(value: str) -> set[str]:
+    """The names of parts that are no content among the classes of ``value``."""
+    out = set()
+    for one in value.split():
+        if one in _NAMES or one in _OUTSIDE:
+            out.add(one)
+            continue
+        parts = _PART.split(one)
+        if len(parts) > 1 and all(p in _NAMES or p in _OUTSIDE or p in _BOX for p in parts):
+            out.update(p for p in parts if p not in _BOX)
+    return out
+
+
+def _described(tag: str, rest: str) -> tuple[str, bool, set[str], bool]:
+    """What nodes must share to match, whether a role bars the element, names, and if it is main."""
+    if not rest or "=" not in rest and "hidden" not in rest.lower():
+        return tag, False, set(), tag == "main"
+    label, other, names, seen, main = tag, False, set(), set(), tag == "main"
     for name, a, b, c in _ATTRIBUTE.findall(rest):
-        value = (a or b or c).lower()
         name = name.lower()
+        if name in seen or name not in ("role", "hidden", "class", "id"):
+            continue
+        seen.add(name)  # of an attribute told twice the first counts
+        value = (a or b or c).lower()
         if name == "role":
             other |= value in _ROLES
+            main |= value == "main"
         elif name == "hidden":
             other |= value != "until-found"
         else:
-            named |= not _NAMES.isdisjoint(re.split(r"[\s_-]+", value))
+            names |= names_in(value)
             if name == "class":
                 label += "." + value
-    return label, other, named
+    return label, other, names, main
+
+
+def settle(root: Node) -> None:
+    """Tell of every element whether it is content, once the page's main part is known."""
+    nodes = root.below()
+    mains = [n for n in nodes if n.main and not n.barred]
+    top = max(mains, key=lambda n: n.size(free=True), default=None)
+    if top is not None:
+        top.release()
+        outside = [n for n in nodes if n.tag == "article" and not n.barred and not n.all_names(None)]
+        most = max((n.size(free=True) for n in outside), default=0)
+        if top.size(free=True) < most:
+            top = None  # the text is in an article elsewhere
+    scope = top or root
+    articles = [n for n in scope.below() if n.tag == "article" and not n.barred]
+    named = [n for n in articles if n.all_names(scope)]
+    if named and not any(n.size() for n in articles if n not in named):
+        best = max(named, key=Node.size)
+        if not best.all_names(scope) & _COMMENT and best.size() > scope.size(free=True):
+            best.release()
+    for node in nodes:
+        above = node.parent
+        node.other = node.barred or bool(node.names) or (above is not None and above.other)
+        node.inside = node is top or (above is not None and above.inside) or (top is None and node.tag == "article")
 
 
 def tree(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements, and the page's blocks of text in order.
 
     Never fails: tags that are not closed end with their parents, ends without a start
-    are passed over, and a tag cut off by the end of the page is dropped.
+    are passed over, and a tag cut off by the end of the page is dropped. A script or style
+    that nothing ends goes on to the end of the page, as in browsers.
     """
-    root = Node("", "", False, False, False, None)
+    root = Node("", "", False, _NONE, False, None)
     at, blocks, pieces = root, [], []
     place, end = 0, len(html)
 
@@ -174,12 +265,16 @@ def tree(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 close_block()
                 at = node.parent
             continue
+        rest = found[3] or found[6] or ""
         if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, place)
-            place = close.end() if close else end
+            if not rest.endswith("/"):  # else it holds nothing
+                close = _ENDS[tag].search(html, place)
+                place = close.end() if close else end if tag in _ENDLESS else place
             continue
-        label, other, named = _described(tag, found[3] or found[6] or "")
-        if tag not in _BLOCK and not other and not named:
+        label, other, names, main = _described(tag, rest)
+        if at.within:
+            names -= _OUTSIDE
+        if tag not in _BLOCK and not other and not names and not main:
             continue
         close_block()
         if tag in _VOID or at.depth == DEPTH:
@@ -188,16 +283,15 @@ def tree(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             at = at.parent
         if at.tag == tag and tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
             at = at.parent
-        inside = at.main or tag in ("article", "main")
-        other |= at.barred or tag in _TAGS or (tag == "header" and not at.main)
-        # A comment is an article as well, named as one in a list that is.
-        reply = tag == "article" and named and at.other
-        node = Node(tag, label, other, named, inside, at)
-        if tag in _WHOLE and not reply:
-            node.release()
+        within = at.within or main or tag == "article"
+        other |= at.barred or tag in _TAGS or (tag == "header" and not at.within)
+        names = _NONE if tag in _WHOLE or main else frozenset(names)
+        node = Node(tag, label, other, names, main, at)
+        node.within = within
         at.children.append(node)
         at = node
     close_block()
+    settle(root)
     return root, blocks
 
 
@@ -249,21 +343,12 @@ def matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return 1 + low + high + best[-1][-1], out
 
 
-def _size(node: Node) -> int:
-    total, queue = 0, [node]
-    while queue:
-        node = queue.pop()
-        total += 1
-        queue += node.children
-    return total
-
-
 def extracted(pages: list[str]) -> list[str]:
     """Main texts of pages of one host, by the wrapper they have in common."""
     trees = [tree(html) for html in pages]
     if len(trees) >= LEAST_PAGES:
         # A page on the small side as reference: all nodes of the template, few others.
-        sizes = [_size(root) for root, _ in trees]
+        sizes = [len(root.below()) for root, _ in trees]
         order = sorted(range(len(trees)), key=lambda i: (sizes[i], pages[i]))
         reference = trees[order[len(order) // 4]][0]
         told: dict[int, Counter] = {}
@@ -284,7 +369,7 @@ def extracted(pages: list[str]) -> list[str]:
                 theirs.same = id(ours) in constant and " ".join(theirs.texts) == constant[id(ours)]
     out = []
     for _, blocks in trees:
-        inside = [b for b in blocks if b[0].main and not b[0].other]
+        inside = [b for b in blocks if b[0].inside and not b[0].other]
         wanted = inside or [b for b in blocks if not b[0].other]
         # A page like all others has no slot of its own; then its blocks are its content.
         slots = [b for b in wanted if not b[0].same] or wanted
@@ -292,26 +377,8 @@ def extracted(pages: list[str]) -> list[str]:
     return out
 
 
-def _pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    kept: list = []
-    chars = 0
-
-    def done() -> pd.DataFrame:
-        texts = extracted([row.html for row in kept])
-        return pd.DataFrame(
-            {"page_id": [r.page_id for r in kept], "url": [r.url for r in kept], "text": texts}
-        )
-
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            full = len(kept) == GROUP or chars + len(row.html) > GROUP_CHARS
-            if kept and (full or row.host != kept[-1].host):
-                yield done()
-                kept, chars = [], 0
-            kept.append(row)
-            chars += len(row.html)
-    if kept:
-        yield done()
+def _of_group(pages: pd.DataFrame) -> pd.DataFrame:
+    return pages[["page_id", "url"]].assign(text=extracted(pages["html"].tolist()))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -320,7 +387,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     A null page is empty and has an empty text. Pages without a host are a group of their
     own. Hosts with fewer than :data:`LEAST_PAGES` pages have no template: their pages'
     blocks are judged by tag, role and class alone. Repeated rows are returned as often as
-    they come; an empty table gives an empty result.
+    they come, and dealt to groups like others; an empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     rows = pages.select(
@@ -328,19 +395,28 @@ def main_texts(pages: DataFrame) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         host.alias("host"),
-        F.xxhash64("page_id", "url").alias("mark"),
-        F.monotonically_increasing_id().alias("row"),  # parts rows that are repeated
+        # The row's number parts rows that are repeated.
+        F.xxhash64("page_id", "url", F.monotonically_increasing_id()).alias("mark"),
     )
+    # Hosts of more pages than a group's: one row each, so at most one for so many pages.
+    n, chars = F.count(F.lit(1)), F.sum(F.length("html"))
+    groups = F.greatest(F.ceil(n / GROUP), F.least(F.ceil(chars / GROUP_CHARS), F.floor(n / LEAST_GROUP)))
+    large = rows.groupBy("host").agg(groups.cast("int").alias("groups")).filter("groups > 1")
+    large = write_through(large)
+    if large.count() <= BROADCAST_HOSTS:
+        large = F.broadcast(large)
+    group = F.pmod("mark", F.coalesce("groups", F.lit(1)).cast("long")).cast("int")
     total = pages.count()
     # As many tasks as the session shuffles into, if there are groups for all of them, or
-    # more where tasks would get long. Spark samples keys for each of them.
+    # more where tasks would get long.
     usual = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(usual, total // GROUP), -(-total // TASK_PAGES))
+    tasks = max(1, min(usual, total // LEAST_GROUP), -(-total // TASK_PAGES))
     return (
-        rows.repartitionByRange(tasks, "host", "mark", "row")
-        .sortWithinPartitions("host", "mark", "html")
-        .drop("mark", "row")
-        .mapInPandas(_pages, "page_id string, url string, text string")
+        rows.join(large, "host", "left")
+        .select("page_id", "url", "html", "host", group.alias("group"))
+        .repartition(tasks, "host", "group")
+        .sortWithinPartitions("host", "group", "html")
+        .mapInPandas(runs(["host", "group"], _of_group), "page_id string, url string, text string")
         .select(
             F.col("page_id").cast(pages.schema["page_id"].dataType).alias("page_id"),
             "url",

@@ -1,0 +1,115 @@
+"""Pages whose attributes, names or raw tags have lost or leaked text before."""
+
+from __future__ import annotations
+
+import pytest
+from quern.llm import wrappers
+
+A = "<p>First {0} part.</p><p>Second {0} part.</p>"
+TEXT = "First {0} part. Second {0} part."
+MAIN = "<main>" + A + "</main>"
+
+PAGES = {
+    "style on article": ("<body><article style='overflow:hidden'>" + A + "</article></body>", TEXT),
+    "style on div": ("<body><div style='overflow:hidden'>" + A + "</div></body>", TEXT),
+    "style on body": ("<body style=\"overflow: hidden\"><div>" + A + "</div></body>", TEXT),
+    "hidden in a title": ("<body><div title='hidden gems'>" + A + "</div></body>", TEXT),
+    "hidden in a title with equals": ("<body><div title='a hidden=b class=ad'>" + A + "</div></body>", TEXT),
+    "aria-hidden": ("<body><article>" + A + "<p aria-hidden='false'>x {0}</p></article></body>", TEXT + " x {0}"),
+    "data-id": ("<body><article><div data-id='comments'>" + A + "</div></article></body>", TEXT),
+    "data-class": ("<body><article><div data-class='ad'>" + A + "</div></article></body>", TEXT),
+    "social science": ("<body><article><div class='social-science'>" + A + "</div></article></body>", TEXT),
+    "has no share": ("<body><article><div class='no-share has-comments'>" + A + "</div></article></body>", TEXT),
+    "svg held nothing": ("<body><article><p>lead {0}</p><svg/>" + A + "</article></body>", "lead {0} " + TEXT),
+    "svg not ended": ("<body><article><svg viewBox='0 0 1 1'>" + A + "</article></body>", TEXT),
+    "iframe held nothing": ("<body><article><iframe src='x'/>" + A + "</article></body>", TEXT),
+    "textarea not ended": ("<body><article><textarea>" + A + "</article></body>", TEXT),
+    "svg with text": ("<body><article><svg><text>12</text></svg>" + A + "</article></body>", TEXT),
+    "script not ended": ("<body><article>" + A + "<script>var a = '{0}';", TEXT),
+    "script end with a blank": ("<body><article><script>x</script >" + A + "</article></body>", TEXT),
+    "hidden": ("<body><article>" + A + "<p hidden>no {0}</p><p HIDDEN=''>no {0}</p></article></body>", TEXT),
+    "related beside main": ("<body>" + MAIN + "<div class='related'><article>Teaser {0}</article></div></body>", TEXT),
+    "comment article beside main": (
+        "<body>" + MAIN + "<div class='comments'><article>a comment {0}</article></div></body>",
+        TEXT,
+    ),
+    "teaser in a sidebar": (
+        "<body><article>" + A + "</article><div class='sidebar'><article class='teaser'>T {0}</article></div></body>",
+        TEXT,
+    ),
+    "comment article in the article": (
+        "<body><article>" + A + "<div id='comments'><article>a comment {0}, longer than all there is</article>"
+        "</div></article></body>",
+        TEXT,
+    ),
+    "the only article is a comment": (
+        "<body><div>" + A + "</div><div class='comments'><article>" + "so long a comment {0} " * 9 + "</article></div></body>",
+        TEXT,
+    ),
+    "related without main": (
+        "<body><div><p>{0}" + " and text" * 30 + "</p></div><div class='related'><article>T {0}</article></div></body>",
+        "{0}" + " and text" * 30,
+    ),
+    "compounds": (
+        "<body><article>" + A + "<div class='cookie-notice-bar'>C {0}</div><div id=share_buttons>S {0}</div>"
+        "<div class='x post-comments'>R {0}</div></article></body>",
+        TEXT,
+    ),
+    "the only article in a widget": ("<body><div class='widget'><article>" + A + "</article></div></body>", TEXT),
+    "teaser outside main": ("<body>" + MAIN + "<div class='latest'><article>Te {0}</article></div></body>", TEXT),
+    "role main": ("<body><div role='main' class='widget'>" + A + "</div><p>Outside {0}</p></body>", TEXT),
+    "header by class": (
+        "<body><div class='header'>Site {0}</div><article><div class='header'>Title {0}</div>" + A + "</article></body>",
+        "Title {0} " + TEXT,
+    ),
+}
+
+
+@pytest.mark.parametrize("pages", [1, 8])
+@pytest.mark.parametrize("name", PAGES)
+def test_text(name, pages):
+    page, text = PAGES[name]
+    told = [f"number {i}" for i in range(pages)]
+    html = [page.replace("{0}", t) for t in told]
+    assert wrappers.extracted(html) == [text.replace("{0}", t) for t in told]
+
+
+def test_names():
+    names = wrappers.names_in("social-science ad main-nav sidebar_widget_area has-sidebar content-box post")
+    assert names == {"ad", "nav", "sidebar", "widget"}
+
+
+@pytest.mark.parametrize("parts", ["3", "40"])
+def test_groups_do_not_follow_partitions(spark, settings, parts):
+    settings(spark__sql__shuffle__partitions=parts)
+    page = "<body><p>Shop</p><div><p>Story {0}</p><p>of day {1}</p></div></body>"
+    # Hosts whose last group would have had one to four pages.
+    rows = [
+        (1000 * h + i, f"http://h{h}.example/{i}", page.format(i, i % 7))
+        for h, n in enumerate((192, 193, 196, 385, 388, 577))
+        for i in range(n)
+    ]
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Story {k % 1000} of day {k % 1000 % 7}" for k, _, _ in rows}
+
+
+def test_many_hosts_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "BROADCAST_HOSTS", 0)
+    page = "<body><p>Shop</p><article><p>Story {0}</p><p>Ends.</p></article></body>"
+    rows = [(i, "http://one.example/", page.format(i)) for i in range(500)] + [(None, None, "<p>x")]
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {*(f"Story {i}" for i in range(500)), "x"}
+
+
+def test_long_pages_make_more_groups(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "GROUP_CHARS", 2_000)
+    page = "<body><p>Shop</p><article><p>Story {0}</p><p>" + "long " * 30 + "</p></article></body>"
+    rows = [(i, "http://one.example/", page.format(i)) for i in range(400)]
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Story {i}" for i in range(400)}
+
+
+def test_copies_of_one_page(spark):
+    rows = [(1, "http://one.example/", "<article>Same.</article>")] * 900
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [tuple(r) for r in got] == [(1, "http://one.example/", "Same.", 5)] * 900
