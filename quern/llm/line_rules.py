@@ -6,14 +6,17 @@ which (transition weights); Viterbi decoding finds the best labelling, and the s
 of a text's word characters on content lines decides whether the text is kept.
 
 The field is trained here, by gradient ascent on the conditional log-likelihood
-(forward-backward), on a bounded sample of labelled documents. Labels are by document,
-so a line's training label is that of its document. A Gaussian prior around stated weights keeps a field that has seen few
-labels sensible; without labels the prior is the field.
+(forward-backward), on a bounded sample of labelled documents. Labels are by document, and
+lines change label within one: so runs of lines of documents with one label are spliced into
+documents with the other, which makes chains whose every line has a label of its own. A
+Gaussian prior around stated weights keeps a field that has seen few labels sensible;
+without labels the prior is the field.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,9 +25,14 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import documents, text_of
 
-#: At most so many labelled documents, and so many lines of them, train the field.
+#: At most so many labelled documents train the field, each with a run of at most so many
+#: of its lines, whose place is chosen by a hash.
 SAMPLE = 4_000
-SAMPLE_LINES = 60_000
+LINES = 200
+
+#: Runs of lines that are spliced into a document at most, and lines of a run.
+SPLICES = 3
+SPLICED_LINES = 8
 
 #: A text is kept if at least this share of its word characters is on content lines.
 CONTENT_SHARE = 0.5
@@ -144,18 +152,45 @@ def viterbi(scores: np.ndarray, stay: float) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], labels: list[int], steps: int = 100) -> dict:
-    """Weights of the field: ``{"emit": one per feature, "stay": transition}``."""
-    prior = np.array([*PRIOR.values(), STAY])
-    chains, wanted, lines_left = [], [], SAMPLE_LINES
-    for text, label in zip(texts, labels):
-        words, lines = lines_of(text)
-        if not lines or lines_left < len(lines):
+def spliced(
+    chains: list[np.ndarray], labels: list[int], seed: int = 1
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Every document's chain with its label, and again with runs of the other label's lines.
+
+    Equal documents in equal order give equal chains.
+    """
+    random = np.random.default_rng(seed)
+    of = {y: [x for x, z in zip(chains, labels) if z == y and len(x)] for y in (0, 1)}
+    out, wanted = [], []
+    for x, y in zip(chains, labels):
+        if not len(x):
             continue
-        lines_left -= len(lines)
-        x = features(words, lines)
-        chains.append(x)
-        wanted.append(np.full(len(x), int(label == 1)))
+        out.append(x)
+        wanted.append(np.full(len(x), y))
+        others = of[1 - y]
+        if not others:
+            continue
+        parts, told = [x], [np.full(len(x), y)]
+        for _ in range(random.integers(1, SPLICES + 1)):
+            other = others[random.integers(len(others))]
+            size = random.integers(1, min(len(other), SPLICED_LINES) + 1)
+            start = random.integers(0, len(other) - size + 1)
+            i = random.integers(len(parts))  # into one of the parts so far
+            at = random.integers(0, len(parts[i]) + 1)
+            run, mark = other[start : start + size], np.full(size, 1 - y)
+            parts[i : i + 1] = [parts[i][:at], run, parts[i][at:]]
+            told[i : i + 1] = [told[i][:at], mark, told[i][at:]]
+        out.append(np.concatenate(parts))
+        wanted.append(np.concatenate(told))
+    return out, wanted
+
+
+def train(chains: list[np.ndarray], wanted: list[np.ndarray], steps: int = 100) -> dict:
+    """Weights of the field: ``{"emit": one per feature, "stay": transition}``.
+
+    ``chains``: features of the lines of a document, one row each; ``wanted``: their labels.
+    """
+    prior = np.array([*PRIOR.values(), STAY])
     weights = prior.copy()
     if not chains:
         return {"emit": weights[:-1].tolist(), "stay": float(weights[-1])}
@@ -209,21 +244,51 @@ def _slope(x, y, real, weights) -> np.ndarray:
     return np.append(slope, same.sum() - expected.sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Train on at most ``sample`` labelled documents, chosen by a hash of their key.
+def _chain_rows(most: int):
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for mark, label, text in zip(frame["h"], frame["y"], frame["t"]):
+                x = features(*lines_of(text))  # of the whole text
+                start = mark % max(1, len(x) - most + 1)
+                out.append((mark, label, x[start : start + most].astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["h", "y", "x"])
 
-    Only training texts are kept below 100,000 characters, to bound what the driver
-    gets; every text is judged whole. Labels other than 0 and 1 and labels of no document are left out. No label at all
-    gives the prior weights.
+    return over
+
+
+def training_chains(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES
+) -> tuple[list, list]:
+    """Features of the lines of at most ``sample`` labelled documents, and their labels.
+
+    Documents are chosen by a hash of their key. Of rows that repeat a key the one with the
+    smallest text is taken, once for each label the key has. Labels other than 0 and 1 and
+    labels of no document are left out. The driver gets numbers only, at most ``lines``
+    rows of a document.
     """
-    marked = labels.filter(F.col("quality").isin(0, 1)).select(
-        F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("y")
+    chosen = (
+        labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+        .select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("y"))
+        .distinct()
+        .orderBy(F.xxhash64("k"), "k", "y")
+        .limit(sample)
     )
-    chosen = marked.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
     texts = docs.select(F.col("doc_id").alias("k"), text_of().alias("t"))
-    rows = texts.join(F.broadcast(chosen), "k").orderBy("k", "y").limit(2 * sample)
-    got = rows.filter(F.length("t") < 100_000).collect()
-    return train([r["t"] for r in got], [r["y"] for r in got])
+    rows = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    rows = rows.select(F.xxhash64("k").alias("h"), "y", "t")
+    got = rows.mapInPandas(_chain_rows(lines), "h long, y int, x binary").collect()
+    got.sort(key=lambda r: (r["h"], r["y"], bytes(r["x"])))
+    chains = [np.frombuffer(r["x"], dtype="<f4").reshape(-1, len(PRIOR)).astype(float) for r in got]
+    return chains, [r["y"] for r in got]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """The field for at most ``sample`` documents of :func:`training_chains`, spliced.
+
+    No label at all gives the prior weights.
+    """
+    return train(*spliced(*training_chains(docs, labels, sample)))
 
 
 def measured(text: Column, weights: dict) -> Column:

@@ -93,3 +93,83 @@ def test_verdicts_follow_the_labels(spark):
     clean = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
     junk = [r.kept for r in rows if r.quality == 0]
     assert sum(clean) >= 0.99 * len(clean) and sum(junk) <= 0.1 * len(junk)
+
+
+def share_of(text, weights):
+    """The content share, from all labellings of the lines of a short text."""
+    words = [WORD.findall(line) for line in text.split("\n") if WORD.search(line)]
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    emit = line_rules.features(words, lines) @ np.array(weights["emit"])
+    value = lambda y: (emit * y).sum() + weights["stay"] * sum(a == b for a, b in zip(y, y[1:]))
+    best = max(product((0, 1), repeat=len(lines)), key=lambda y: value(np.array(y)))
+    sizes = [sum(map(len, w)) for w in words]
+    return sum(s for s, y in zip(sizes, best) if y) / sum(sizes)
+
+
+def mixed_texts(spark, folder, seed=3, most=10):
+    """Lines of junk spliced into good documents, with the share of each line's label."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").select("text", "quality").collect()
+    lines = {y: [li for r in rows if r.quality == y for li in r.text.split("\n") if len(WORD.findall(li)) > 2] for y in (0, 1)}
+    random = np.random.default_rng(seed)
+    out = []
+    for _ in range(150):
+        text, marks = [], []
+        for y in random.permutation([0, 1]):
+            start, n = random.integers(len(lines[y]) - most), random.integers(1, most // 2 + 1)
+            text += lines[y][start : start + n]
+            marks += [int(y)] * int(n)
+        out.append(("\n".join(text), marks))
+    return out
+
+
+def test_lines_of_both_kinds_are_told_apart(spark):
+    """Trained at one scale, tested on documents spliced from another's lines."""
+    trained = "/root/testdata/sf0.01"
+    weights = line_rules.fit(
+        spark.read.parquet(f"{trained}/documents.parquet"), spark.read.parquet(f"{trained}/labels.parquet")
+    )
+    texts = mixed_texts(spark, "/root/testdata/sf0.1")
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_rules.verdicts(table, weights).collect()}
+    right = total = between = near = 0
+    for i, (text, marks) in enumerate(texts):
+        words, lines = line_rules.lines_of(text)
+        y = line_rules.viterbi(line_rules.features(words, lines) @ np.array(weights["emit"]), weights["stay"])
+        right += int((y == np.array(marks, dtype=bool)).sum())
+        total += len(marks)
+        share = got[i].content_share
+        between += 0 < share < 1
+        assert abs(share - share_of(text, weights)) < 1e-9
+        assert got[i].kept == (not got[i].base_failed and share >= 0.5)
+        sizes = [sum(map(len, w)) for w in words]
+        true = sum(s for s, m in zip(sizes, marks) if m) / sum(sizes)
+        near += (share >= 0.5) == (true >= 0.5)
+    assert right / total > 0.9 and between > 0.8 * len(texts) and near > 0.9 * len(texts)
+
+
+def test_spliced_chains_have_both_labels():
+    random = np.random.default_rng(1)
+    chains = [random.normal(i % 2, 0.1, (1 + i % 5, len(line_rules.PRIOR))) for i in range(40)]
+    labels = [i % 2 for i in range(40)]
+    out, wanted = line_rules.spliced(chains, labels)
+    assert len(out) == 80 and all(len(x) == len(y) for x, y in zip(out, wanted))
+    assert sum(0 < y.mean() < 1 for y in wanted) == 40
+    for x, y in zip(out, wanted):  # each line still has its own label
+        assert ((x.mean(axis=1) > 0.5) == y).all()
+    again = line_rules.spliced(chains, labels)
+    assert all((a == b).all() for a, b in zip(out, again[0]))
+    alone, same = line_rules.spliced(chains[:1], [0])
+    assert len(alone) == 1 and not same[0].any()
+    assert line_rules.spliced([np.zeros((0, len(line_rules.PRIOR)))], [1]) == ([], [])
+
+
+def test_training_takes_a_repeated_key_once(spark):
+    rows = [(1, f"line {i}\n" * 9) for i in range(300)] + [(2, "a b c d e f.\ng h."), (3, None), (4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 5), (9, 1), (None, 1)], "doc_id long, quality int")
+    chains, own = line_rules.training_chains(docs, labels, lines=3)
+    assert sorted((len(x), y) for x, y in zip(chains, own)) == [(0, 1), (2, 0), (3, 1)]
+    assert len(line_rules.training_chains(docs, labels, sample=1)[0]) <= 1
+    assert set(line_rules.fit(docs, labels)) == {"emit", "stay"}
