@@ -14,7 +14,6 @@ from tokenizers import Tokenizer
 
 def check(docs, length=2048):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = packing.pack(docs, length=length).collect()
     sequences = defaultdict(list)
     for p in pieces:

@@ -6,12 +6,13 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
-from quern.llm import line_rules, packing
+from quern.llm import line_rules
 from quern.llm.common import documents
 from quern.sources import write_through
 from tests.llm.rough import SCHEMA, rough_documents
+from tests.llm.test_near_copies import groups_of
 from tests.llm.test_repeats import brute as repeats_of
-from tests.llm.test_simhash import components, fingerprint
+from tokenizers import Tokenizer
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,7 +31,7 @@ def test_stages_against_brute_force(spark):
 
     single = write_through(stage("SimHash near-dedup")(spark, kept, FOLDER))
     rows = sorted(kept.collect())
-    groups = components([fingerprint(r.text) for r in rows])
+    groups = groups_of([r.text for r in rows])
     assert sorted(single.collect()) == [rows[i] for i in sorted(set(groups))]
 
     cut = write_through(stage("suffix-array dedup")(spark, single, FOLDER))
@@ -56,8 +57,9 @@ def test_stages_against_brute_force(spark):
     assert all(after[s] <= 2 * before[s] for s in before)
 
     pieces = stage("packing")(spark, mixed, FOLDER).collect()
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
-    assert sum(p.length for p in pieces) == sum(len(encode(r.text)) + 1 for r in mixed.collect())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [tokenizer.encode(r.text, add_special_tokens=False).ids for r in mixed.collect()]
+    assert sum(p.length for p in pieces) == sum(len(i) + 1 for i in ids)
 
 
 def test_rough_rows(spark):
