@@ -51,6 +51,7 @@ PER_BUCKET = 5_000
 #: Bytes hashed at a time, and rows that tasks gather before they pass them on.
 _BLOCK = 1 << 19
 _ROWS = 50_000
+_MARKS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -89,15 +90,17 @@ def _sliding(best, values: np.ndarray, width: int) -> np.ndarray:
     return best(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of ``text``, in blocks of bounded size.
+def anchor_blocks(
+    text: bytes, window: int = WINDOW, gram: int = GRAM
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and hashes of the anchors of ``text``, in order, a block at a time.
 
     A position is an anchor if its hash is the smallest of some window around it; equal
     smallest hashes are all anchors, so the choice depends on a window's bytes alone.
     """
     width = window - gram + 1
-    places, marks = [], []
     last = len(text) - window  # of the windows
+    at, mark = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     for low in range(0, last + 1, _BLOCK):
         high = min(last + 1, low + _BLOCK)  # windows from low to high
         data = np.frombuffer(text, np.uint8, high - 1 + window - low, low)
@@ -105,16 +108,49 @@ def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nda
         least = _sliding(np.minimum, hashes, width)
         edge = np.zeros(width - 1, dtype=np.uint64)
         most = _sliding(np.maximum, np.concatenate([edge, least, edge]), width)
-        at = np.flatnonzero(hashes == most)
-        places.append(at + low)
-        marks.append(hashes[at])
-    if not places:
+        own = np.flatnonzero(hashes == most)
+        at, mark = np.concatenate([at, own + low]), np.concatenate([mark, hashes[own]])
+        if low:  # the end of one block's windows is the start of the next one's
+            at, first = np.unique(at, return_index=True)
+            mark = mark[first]
+        done = len(at) if high > last else int(np.searchsorted(at, high))
+        yield at[:done], mark[:done]
+        at, mark = at[done:], mark[done:]
+
+
+def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of all anchors of ``text``."""
+    found = [*anchor_blocks(text, window, gram)]
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, mark = np.concatenate(places), np.concatenate(marks)
-    if len(places) > 1:  # blocks overlap
-        at, first = np.unique(at, return_index=True)
-        mark = mark[first]
-    return at, mark
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def placed_contexts(
+    text: bytes, window: int = WINDOW, gram: int = GRAM
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors' hashes, contexts' hashes, first and last position and number, a block at a time.
+
+    Equal contexts that follow each other within a window, as in text that repeats a few
+    bytes, are one entry: the stretches they cover are one. So a text of one letter has
+    hardly more entries than any other.
+    """
+    digest, side = xxhash.xxh3_64_intdigest, window - gram
+    for at, mark in anchor_blocks(text, window, gram):
+        if not len(at):
+            continue
+        context = np.fromiter(
+            (digest(text[max(0, p - side) : p + window], min(p, side)) for p in at.tolist()),
+            np.uint64,
+            len(at),
+        )
+        order = np.lexsort((at, context, mark))
+        at, mark, context = at[order], mark[order], context[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (mark[1:] != mark[:-1]) | (context[1:] != context[:-1]) | (np.diff(at) > window)
+        first = np.flatnonzero(new)
+        number = np.diff(first, append=len(at))
+        yield mark[first], context[first], at[first], at[first + number - 1], number
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -241,38 +277,45 @@ def _counted(window: int, gram: int):
     """Anchor hashes of texts with their number, added up per batch."""
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def table(marks: list[np.ndarray], times: list[np.ndarray]) -> pd.DataFrame:
+            values, at = np.unique(np.concatenate(marks), return_inverse=True)
+            count = np.bincount(at, np.concatenate(times), len(values))
+            return pd.DataFrame({"h": values.view(np.int64), "c": count.astype(np.int64)})
+
         for frame in frames:
-            marks, times = [], []
+            marks, times, rows = [], [], 0
             for text, copies in zip(frame["text"], frame["copies"]):
-                mark = anchors(text.encode(), window, gram)[1]
-                marks.append(mark)
-                times.append(np.full(len(mark), copies, dtype=np.int64))
+                for _, mark in anchor_blocks(text.encode(), window, gram):
+                    own, number = np.unique(mark, return_counts=True)
+                    marks.append(own)
+                    times.append(number * copies)
+                    rows += len(own)
+                    if rows > _MARKS:
+                        yield table(marks, times)
+                        marks, times, rows = [], [], 0
             if marks:
-                values, at = np.unique(np.concatenate(marks), return_inverse=True)
-                count = np.bincount(at, np.concatenate(times), len(values))
-                yield pd.DataFrame({"h": values.view(np.int64), "c": count.astype(np.int64)})
+                yield table(marks, times)
 
     return over
 
 
 def _placed(window: int, gram: int):
-    """Anchors of texts: hash, hash of the context, position."""
+    """Anchors of texts: hash, hash of the context, first and last position of a run."""
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest, side = xxhash.xxh3_64_intdigest, window - gram
-
         def table(parts: list[tuple]) -> pd.DataFrame:
-            n = [len(p[2]) for p in parts]
+            n = [len(p[3]) for p in parts]
             whole = lambda i: np.concatenate([p[i] for p in parts])
             each = lambda i: np.repeat(np.array([p[i] for p in parts]), n)
             return pd.DataFrame(
                 {
-                    "h": whole(2).view(np.int64),
-                    "context": whole(3).view(np.int64),
+                    "h": whole(3).view(np.int64),
+                    "context": whole(4).view(np.int64),
                     "tid": each(0),
                     "size": each(1),
-                    "pos": whole(4),
-                    "copies": each(5),
+                    "pos": whole(5),
+                    "last": whole(6),
+                    "copies": each(2) * whole(7),
                 }
             )
 
@@ -281,19 +324,12 @@ def _placed(window: int, gram: int):
             for tid, size, text, copies in zip(
                 frame["tid"].tolist(), frame["size"].tolist(), frame["text"], frame["copies"].tolist()
             ):
-                body = text.encode()
-                at, mark = anchors(body, window, gram)
-                lows, places = np.maximum(at - side, 0).tolist(), at.tolist()
-                context = np.fromiter(
-                    (digest(body[a : p + window], p - a) for a, p in zip(lows, places)),
-                    np.uint64,
-                    len(places),
-                )
-                parts.append((tid, size, mark, context, at, copies))
-                rows += len(at)
-                if rows > _ROWS:
-                    yield table(parts)
-                    parts, rows = [], 0
+                for found in placed_contexts(text.encode(), window, gram):
+                    parts.append((tid, size, copies, *found))
+                    rows += len(found[0])
+                    if rows > _ROWS:
+                        yield table(parts)
+                        parts, rows = [], 0
             if parts:
                 yield table(parts)
 
@@ -316,12 +352,14 @@ def _bodies(window: int, gram: int):
         for frame in frames:
             parts, bodies = [], []
             for row in zip(frame["text"], *(frame[c] for c in lists)):
-                body, at = row[0].encode(), row[-1]
-                bodies += [body[max(0, p - side) : p + window] for p in at.tolist()]
-                parts.append(row[1:])
-                if len(bodies) > _ROWS:
-                    yield table(parts, bodies)
-                    parts, bodies = [], []
+                body = row[0].encode()
+                for low in range(0, len(row[-1]), _ROWS):
+                    part = [c[low : low + _ROWS] for c in row[1:]]
+                    bodies += [body[max(0, p - side) : p + window] for p in part[-1].tolist()]
+                    parts.append(part)
+                    if len(bodies) > _ROWS:
+                        yield table(parts, bodies)
+                        parts, bodies = [], []
             if parts:
                 yield table(parts, bodies)
 
@@ -337,7 +375,9 @@ def _sorted_shards(window: int, gram: int, at_once: int):
     its context and offset.
     """
 
-    def shard(part: pd.DataFrame) -> pd.DataFrame:
+    names = ["h", "context", "lo", "hi", "digest"]
+
+    def shard(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         left = part["before"].to_numpy(dtype=np.int64)
         bodies = part["body"].tolist()
         right = np.array([len(b) for b in bodies], dtype=np.int64) - left - gram
@@ -346,7 +386,6 @@ def _sorted_shards(window: int, gram: int, at_once: int):
         h, context = part["h"].to_numpy(), part["context"].to_numpy()
         lo = np.full(len(part), -1, dtype=np.int64)
         hi = np.full(len(part), -1, dtype=np.int64)
-        digests: list[tuple] = []
         for o, have, key in repeated_windows(left, right, bodies, window, gram):
             order = np.argsort(key, kind="stable")
             ordered = key[order]
@@ -355,23 +394,22 @@ def _sorted_shards(window: int, gram: int, at_once: int):
             twice = have[order[~alone]]
             lo[twice] = np.maximum(lo[twice], o)
             hi[twice] = np.maximum(hi[twice], window - o)
-            if not spread.any():
-                continue
             first = have[order[heads]]
-            for i in first[spread[first]].tolist():
-                start = int(left[i]) - o
+            first = first[spread[first]]
+            for low in range(0, len(first), _ROWS):
                 # With its place around the anchor: a window is also in other contexts.
-                place = b"%d %d " % (h[i], o)
-                mark = xxhash.xxh3_128_digest(place + bodies[i][start : start + window])
-                digests.append((int(h[i]), int(context[i]), o, mark))
+                some = first[low : low + _ROWS]
+                starts = (left[some] - o).tolist()
+                marks = [
+                    xxhash.xxh3_128_digest(b"%d %d " % (h[i], o) + bodies[i][a : a + window])
+                    for i, a in zip(some.tolist(), starts)
+                ]
+                told = {"h": h[some], "context": context[some], "lo": o, "hi": -1, "digest": marks}
+                yield pd.DataFrame(told)[names]
         found = np.flatnonzero((lo >= 0) & once)
         out = pd.DataFrame({"h": h[found], "context": context[found], "lo": lo[found], "hi": hi[found]})
         out["digest"] = None
-        if digests:
-            more = pd.DataFrame(digests, columns=["h", "context", "lo", "digest"])
-            more["hi"] = -1
-            out = pd.concat([out, more[out.columns]], ignore_index=True)
-        return out
+        yield out
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = pd.DataFrame()
@@ -383,10 +421,10 @@ def _sorted_shards(window: int, gram: int, at_once: int):
                 whole = len(kept) - int(last.sum())
                 if not whole:
                     break
-                yield shard(kept.iloc[:whole].reset_index(drop=True))
+                yield from shard(kept.iloc[:whole].reset_index(drop=True))
                 kept = kept.iloc[whole:].reset_index(drop=True)
         if len(kept):
-            yield shard(kept)
+            yield from shard(kept)
 
     return over
 
@@ -422,7 +460,7 @@ def covered(texts: DataFrame, window: int, gram: int, per_shard: int) -> DataFra
     )
     placed = texts.mapInPandas(
         _placed(window, gram),
-        "h long, context long, tid long, size int, pos int, copies long",
+        "h long, context long, tid long, size int, pos int, last int, copies long",
     )
     found = write_through(placed.join(counts, "h"))
     contexts = write_through(
@@ -487,7 +525,7 @@ def covered(texts: DataFrame, window: int, gram: int, per_shard: int) -> DataFra
         "tid",
         "size",
         F.greatest(F.lit(0), F.col("pos") - F.col("lo")).alias("lo"),
-        F.least("size", F.col("pos") + F.col("hi")).alias("hi"),
+        F.least("size", F.col("last") + F.col("hi")).alias("hi"),
     )
 
 
@@ -566,7 +604,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     A null text is empty. Rows with equal or null keys are returned as they come, and
     rows with equal texts of ``WINDOW`` bytes or more repeat each other. An empty table
-    gives an empty result.
+    gives an empty result. A very long text takes memory for a few copies of its bytes,
+    however its bytes repeat.
     """
     changed = write_through(
         without_repeats(docs, text).select(

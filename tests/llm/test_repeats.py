@@ -101,3 +101,41 @@ def test_anchors_do_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(repeats, "_BLOCK", 700)
     cut = repeats.anchors(text)
     assert whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist()
+
+
+def periodic_rows():
+    """Runs of few bytes, alone, next to each other, and as long as a window allows."""
+    rng = np.random.default_rng(8)
+    some = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    texts = ["a" * 3000, "ab" * 900, some(37) * 60, some(150) * 9, some(199) * 4, some(200) * 3, some(201) * 3]
+    texts += [some(300) + "x" * n + some(300) for n in (199, 200, 201, 232, 399, 400, 401, 900)]
+    texts += ["=" * 500 + some(100) + "=" * 500, "-" * 700 + "=" * 700, "ab" * 400 + "ba" * 400, some(13) * 20 + some(13) * 40]
+    unit = some(37)
+    texts += [some(50) + unit * 12 + some(50), unit[9:] + unit * 30]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def test_periodic_texts(spark, monkeypatch):
+    check(spark.createDataFrame(periodic_rows(), "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("block", [1 << 19, 700])
+def test_entries_cover_the_same_anchors(monkeypatch, block):
+    monkeypatch.setattr(repeats, "_BLOCK", block)
+    for _, text in periodic_rows():
+        body = text.encode()
+        at, mark = repeats.anchors(body)
+        places = {}
+        for p, m in zip(at.tolist(), mark.tolist()):
+            places.setdefault((m, body[max(0, p - 168) : p + 200], min(p, 168)), []).append(p)
+        entries = [z for f in repeats.placed_contexts(body) for z in zip(*(c.tolist() for c in f))]
+        assert sum(e[4] for e in entries) == len(at)
+        assert {p for own in places.values() for p in own} >= {p for e in entries for p in e[2:4]}
+        if block > len(body) and text == "a" * 3000:
+            assert len(entries) < 450 and len(at) > 2900
+
+
+@pytest.mark.parametrize("unit", [b"a", bytes(range(60, 97))])
+def test_long_periodic_text_has_few_entries(unit):
+    body = unit * (3_000_000 // len(unit))
+    assert sum(len(f[0]) for f in repeats.placed_contexts(body)) < 600
