@@ -4,8 +4,12 @@ A text is described by which words it has, and by the first letters of its words
 that inflected forms share a feature. Features that tell the labels apart are chosen
 from counts over the labelled sample, and a logistic regression is fitted on them by
 accelerated gradient descent. In every labelled text that mentions a group of people,
-the mention is swapped for another group, and the difference between the scores of the
-text and its counterfactual is penalised; so a mention as such moves no score.
+the mention is swapped for another group, and for none, and the differences between the
+scores of the text and its counterfactuals are penalised. Texts that mention none, of either
+label, are made to: a bounded number of them is trained on again with a mention put in,
+groups taking turns, and paired with the same text with another group, and with none. So a
+mention as such moves no score, also where the labelled texts mention few groups or one
+group mostly in toxic ones.
 
 Training is on a bounded sample of labelled rows, features and counts by Spark; scoring
 covers every whole text.
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +30,14 @@ from pyspark.sql import functions as F
 from quern.llm.common import documents, text_of
 from quern.sources import write_through
 
-#: At most so many labelled documents, and of them so many features, train the model.
+#: At most so many labelled documents, and of them so many features, train the model; texts
+#: of more characters are scored, but not trained on.
 SAMPLE = 10_000
 FEATURES = 4_000
+LONGEST = 200_000
+
+#: Labelled texts that a mention is put into, about, at most.
+PUT_IN = 2_000
 
 #: A text with at least this score is predicted to be toxic.
 THRESHOLD = 0.3
@@ -38,7 +48,7 @@ LEAST_ODDS = 1.0
 LEAST_ERRORS = 3.0
 
 #: Strength of the penalty on score changes, and of that on large weights.
-COUNTERFACTUAL = 1.0
+COUNTERFACTUAL = 4.0
 RIDGE = 1e-3
 
 #: Letters of the word beginnings that are features.
@@ -68,6 +78,7 @@ _OTHER = {
     for group in IDENTITY_TERMS
     for i, term in enumerate(group)
 }
+_TERMS = sorted(_OTHER)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -95,7 +106,23 @@ def _feature_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": names, "label": labels})
 
 
-def _indexed(number: dict[str, int]):
+def counterfactuals(text: str, every: int) -> tuple[set[str], set[str], list[set[str]]]:
+    """The words of a text, those that are trained on, and their counterfactuals.
+
+    Of texts without a mention of a group, one in ``every``, by a checksum, gets one put in;
+    with it the text is a labelled one of its own.
+    """
+    words = words_of(text)
+    if not words.isdisjoint(_OTHER):
+        return words, words, [swapped(words), words - _OTHER.keys()]
+    turn = zlib.crc32(text.encode())
+    if turn % every:
+        return words, words, []
+    term = _TERMS[turn // every % len(_TERMS)]
+    return words, words | {term}, [words | {_OTHER[term]}, words]
+
+
+def _indexed(number: dict[str, int], every: int):
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def ids(words: set[str]) -> list[int]:
             found = {f for w in words for f in features_of(w)}
@@ -104,10 +131,11 @@ def _indexed(number: dict[str, int]):
         for frame in frames:
             out = []
             for text, label in zip(frame["text"], frame["label"]):
-                words = words_of(text)
-                other = swapped(words)
-                out.append((label, ids(words), ids(other) if other != words else None))
-            yield pd.DataFrame(out, columns=["label", "ids", "other"])
+                words, named, others = counterfactuals(text, every)
+                out.append((label, ids(named), [ids(o) for o in others]))
+                if named != words:
+                    out.append((label, ids(words), []))
+            yield pd.DataFrame(out, columns=["label", "ids", "others"])
 
     return over
 
@@ -119,15 +147,16 @@ def _sums(weights: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np
 def fit_weights(
     labels: np.ndarray,
     own: list[list[int]],
-    other: list[list[int] | None],
+    others: list[list[list[int]]],
     features: int,
     steps: int = 300,
+    counterfactual: float = COUNTERFACTUAL,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log loss plus both penalties."""
     n = max(1, len(labels))
     rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
     cols = np.array([i for x in own for i in x], dtype=np.int64)
-    pairs = [(a, b) for a, b in zip(own, other) if b is not None]
+    pairs = [(a, b) for a, more in zip(own, others) for b in more]
     # Of a pair only what differs moves its score: features gained and lost.
     change = [[(i, 1.0) for i in set(b) - set(a)] + [(i, -1.0) for i in set(a) - set(b)] for a, b in pairs]
     pair_rows = np.repeat(np.arange(len(change)), [len(x) for x in change])
@@ -137,10 +166,12 @@ def fit_weights(
     rate = labels.mean() if len(labels) else 0.0
     bias = math.log((rate + 1e-3) / (1 - rate + 1e-3))
     ahead, ahead_bias = weights.copy(), bias
-    # The traces of the curvatures bound how fast the slope can change.
-    bound = (len(cols) / n + 1.0) / 4.0 + RIDGE
+    # The traces of the curvatures bound how fast the slope can change; the penalty on score
+    # changes only bends the features that differ within a pair.
+    bound = np.full(features, (len(cols) / n + 1.0) / 4.0 + RIDGE)
+    bias_step = 1.0 / bound[0] if features else 1.0
     if pairs:
-        bound += 2.0 * COUNTERFACTUAL * max(1.0, len(pair_cols) / len(change))
+        bound[np.unique(pair_cols)] += 2.0 * counterfactual * max(1.0, len(pair_cols) / len(change))
     step = 1.0 / bound
     for i in range(steps):
         z = _sums(ahead, rows, cols, len(own)) + ahead_bias
@@ -148,9 +179,9 @@ def fit_weights(
         slope = np.bincount(cols, error[rows], features) / n + RIDGE * ahead
         if pairs:
             gap = np.bincount(pair_rows, pair_sign * ahead[pair_cols], len(change))
-            push = 2.0 * COUNTERFACTUAL / len(change) * gap[pair_rows] * pair_sign
+            push = 2.0 * counterfactual / len(change) * gap[pair_rows] * pair_sign
             slope += np.bincount(pair_cols, push, features)
-        new, new_bias = ahead - step * slope, ahead_bias - step * error.sum() / n
+        new, new_bias = ahead - step * slope, ahead_bias - bias_step * error.sum() / n
         drift = i / (i + 3.0)
         ahead = new + drift * (new - weights)
         ahead_bias = new_bias + drift * (new_bias - bias)
@@ -158,13 +189,22 @@ def fit_weights(
     return weights, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    longest: int = LONGEST,
+    put_in: int = PUT_IN,
+    counterfactual: float = COUNTERFACTUAL,
+) -> dict:
     """``{"weights": {feature: weight}, "bias": bias}`` from at most ``sample`` rows.
 
     ``labels (doc_id, toxic)``: rows with other labels than 0 and 1 are left out. The
-    sample is chosen by a hash of the key; texts of 200,000 characters or more are scored
-    like any other, but not trained on. Of rows that repeat a key the one with the smallest
-    text is trained on, once for each label the key has. Without labels every score is one half.
+    sample is chosen by a hash of the key; texts of more than ``longest`` characters are
+    scored like any other, but not trained on. Of rows that repeat a key the one with the
+    smallest text is trained on, once for each label the key has. About ``put_in`` of the
+    texts are trained on with a mention as well (0: none). Without labels every score is
+    one half.
     """
     marked = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -174,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     )
     texts = docs.select(F.col("doc_id").alias("k"), text_of().alias("text"))
     rows = write_through(
-        texts.filter(F.length("text") < 200_000)
+        texts.filter(F.length("text") <= longest)
         .join(F.broadcast(marked.distinct()), "k")
         .groupBy("k", "label")
         .agg(F.min("text").alias("text"))
@@ -202,13 +242,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     for term in _OTHER:
         named.update(dict.fromkeys(features_of(term)))
     number = {f: i for i, f in enumerate(named)}
-    got = rows.mapInPandas(_indexed(number), "label int, ids array<int>, other array<int>").collect()
-    got.sort(key=lambda r: (r["label"], r["ids"]))
+    every = -(-total // put_in) if put_in else 1 << 33  # beyond any checksum but zero
+    step = _indexed(number, every)
+    got = rows.mapInPandas(step, "label int, ids array<int>, others array<array<int>>").collect()
+    got.sort(key=lambda r: (r["label"], r["ids"], r["others"]))
     weights, bias = fit_weights(
         np.array([r["label"] for r in got], dtype=float),
         [r["ids"] for r in got],
-        [r["other"] for r in got],
+        [r["others"] for r in got],
         len(number),
+        counterfactual=counterfactual,
     )
     return {"weights": {f: float(weights[i]) for f, i in number.items() if weights[i]}, "bias": bias}
 

@@ -22,16 +22,16 @@ def test_held_out_accuracy(spark):
 def test_mentions_of_groups_are_made_neutral():
     """A group named mostly in toxic texts: its weight shrinks under the penalty."""
     rng = np.random.default_rng(8)
-    labels, own, other = [], [], []
+    labels, own, others = [], [], []
     for i in range(400):
         toxic = i % 2
         insult, group = toxic and rng.random() < 0.8, rng.random() < (0.6 if toxic else 0.1)
         ids = [0] * bool(insult) + [1] * bool(group)
         labels.append(toxic)
         own.append(ids)
-        other.append([0] * bool(insult) + [2] if group else None)
-    weights, _ = toxicity.fit_weights(np.array(labels, float), own, other, 3)
-    plain, _ = toxicity.fit_weights(np.array(labels, float), own, [None] * 400, 3)
+        others.append([[0] * bool(insult) + [2]] if group else [])
+    weights, _ = toxicity.fit_weights(np.array(labels, float), own, others, 3)
+    plain, _ = toxicity.fit_weights(np.array(labels, float), own, [[]] * 400, 3)
     assert weights[0] > 1 and abs(weights[1] - weights[2]) < 0.5 * abs(plain[1])
 
 
