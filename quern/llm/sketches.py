@@ -16,12 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import WORD, documents, text_of
+from quern.sources import write_through
 
 WORDS = 5
 K = 128
 
 #: Ranges that the order of all rows is cut into, at most; one small row each is broadcast.
 RANGES = 100_000
+#: Rows of a range, about, unless there would be more ranges than that.
+RANGE_ROWS = 5_000
+#: Keys that repeat are collected if they have more rows than a range and than this share of
+#: the table, so at most so many.
+HOT_KEYS = 10_000
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -89,30 +95,71 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(id, text, size, sketch, next_text, next_sketch)``: each row beside the next.
+def distinct_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(id, text, copies)`` without equal rows, and ``(id, n)`` of keys that repeat.
 
-    Rows are in ascending order of ``key``, nulls first, ties by text; the last row's
-    next is the first. The order is cut into ranges: quantiles of the keys, each cut
-    evenly again. A copy of each range's first row ends the range before it, so a range
-    needs no other one. At most a thousand bounds are collected, and a row of three numbers
-    for each of at most :data:`RANGES` ranges is broadcast.
+    Rows are compared only where their keys repeat, or are null, and are added up where they
+    are before they are shuffled.
     """
-    rows = docs.select(F.col(key).alias("id"), text_of(text).alias("text"))
-    total = rows.count()
+    keys = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL")
+    keys = write_through(keys)
+    found = keys.count()
+    if not found:
+        return rows.withColumn("copies", F.lit(1).cast("long")), keys
+    known = F.broadcast(keys) if found <= RANGES else keys
+    marked = rows.join(known.withColumnRenamed("id", "key"), F.col("id").eqNullSafe(F.col("key")), "left")
+    single = marked.filter("n IS NULL").select("id", "text", F.lit(1).cast("long").alias("copies"))
+    many = marked.filter("n IS NOT NULL").groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return single.unionByName(many.select("id", "text", "copies")), keys
+
+
+def _range_of(rows: DataFrame, total: int, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``range``, the number of each row's range, in order of its key and, of one key's rows, its mark."""
     cells = max(1, min(1000, math.isqrt(total)))
     shares = [i / cells for i in range(cells + 1)]
-    bounds = rows.agg(F.percentile_approx("id", shares, 10 * cells)).first()[0] or [0]
-    bounds = sorted(set(bounds))
-    finer = max(1, min(RANGES // cells, -(-total // (cells * 50_000))))
-    starts = F.array(*map(F.lit, bounds))
-    cell = F.size(F.filter(starts, lambda b: b <= F.col("id"))) - 1
-    low = F.element_at(starts, cell + 1)
-    wide = F.array(*(F.lit(max(1, y - x)) for x, y in zip(bounds, [*bounds[1:], bounds[-1] + 1])))
-    part = F.floor((F.col("id") - low).cast("double") * finer / F.element_at(wide, cell + 1))
-    place = cell.cast("long") * finer + F.least(part, F.lit(finer - 1))
-    rows = rows.withColumn("range", F.when(F.col("id").isNull(), -1).otherwise(place))
+    bounds = set(rows.agg(F.percentile_approx("id", shares, 10 * cells)).first()[0] or [0])
+    most = max(RANGE_ROWS, total // HOT_KEYS)
+    hot = {r["id"]: r["n"] for r in keys.filter(F.col("n") > most).collect()}
+    # A hot key is a cell of its own, and cut by the marks of its rows.
+    bounds |= {k for k in hot if k is not None} | {k + 1 for k in hot if k is not None and k < 2**63 - 1}
+    bounds = sorted(bounds)
+    most_parts = max(1, RANGES // (len(bounds) + 1))
+    even = min(most_parts, max(1, -(-total // (cells * RANGE_ROWS))))
+    parts = [min(most_parts, max(1, -(-hot[x] // RANGE_ROWS))) if x in hot else even for x in bounds]
+    first_of = [0]
+    for n in parts:
+        first_of.append(first_of[-1] + n)
+    of = lambda values, kind: F.element_at(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("cell") + 1)
+    starts = F.array(*(F.lit(x).cast("long") for x in bounds))
+    ends = [float(y) for y in [*bounds[1:], bounds[-1] + 1]]
+    # In doubles, which keep the order and hold any difference of two keys.
+    by_id = (F.col("id").cast("double") - of([float(x) for x in bounds], "double")) / of(
+        [max(1.0, y - float(x)) for x, y in zip(bounds, ends)], "double"
+    )
+    by_mark = (F.col("mark").cast("double") + 2.0**63) / 2.0**64
+    place = F.when(of([x in hot for x in bounds], "boolean"), by_mark).otherwise(by_id)
+    of_null = min(most_parts, max(1, -(-hot.get(None, 0) // RANGE_ROWS)))
+    within = lambda share, n: F.least(F.floor(share * n), n - 1)
+    cell = F.greatest(F.lit(1), F.size(F.filter(starts, lambda b: b <= F.col("id")))) - 1
+    number = of(first_of[:-1], "long") + within(place, of(parts, "long"))
+    number = F.when(F.col("id").isNull(), within(by_mark, F.lit(of_null).cast("long")) - of_null).otherwise(number)
+    return rows.withColumn("cell", cell).withColumn("range", number).drop("cell")
+
+
+def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(id, text, copies, sketch, next_text, next_sketch)``: each distinct row by the next.
+
+    Rows are in ascending order of ``key``, nulls first, ties by a hash of the text and then
+    the text; the last row's next is the first. Equal rows are one, with their number. The
+    order is cut into ranges: quantiles of the keys, each cut evenly again, and keys of very
+    many rows by their texts' hashes. A copy of each range's first row ends the range before
+    it, so a range needs no other one. At most a thousand bounds and :data:`HOT_KEYS` keys
+    are collected, and a row of three numbers for each of at most :data:`RANGES` ranges is
+    broadcast.
+    """
+    rows, keys = distinct_rows(docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text")))
     rows = rows.withColumn("mark", F.xxhash64("text"))
+    rows = _range_of(rows, docs.count(), keys)
     # The first row of each range, by fixed-width columns only; then its text.
     order = F.struct(F.col("id"), F.col("mark"))
     firsts = rows.groupBy("range").agg(F.min(order).alias("first"))
@@ -122,19 +169,30 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     heads = (
         rows.join(F.broadcast(firsts), "range")
         .filter(order.eqNullSafe(F.col("first")))
-        .dropDuplicates(["range"])
-        .select("id", "text", F.col("ends").alias("range"), "mark", F.lit(1).alias("head"))
+        .groupBy("ends", "first")
+        .agg(F.min("text").alias("text"))
+        .select(
+            "first.id",
+            "text",
+            F.lit(1).cast("long").alias("copies"),
+            F.col("first.mark").alias("mark"),
+            F.col("ends").alias("range"),
+            F.lit(1).alias("head"),
+        )
     )
-    ranges = rows.withColumn("head", F.lit(0)).unionByName(heads).repartition("range")
+    # Ranges are of like size, so they are dealt out in turns.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.withColumn("head", F.lit(0)).unionByName(heads)
+    ranges = ranges.repartitionById(tasks, F.pmod("range", F.lit(tasks)).cast("int"))
     sketched = ranges.withColumn("sketch", sketch(F.col("text")))
-    inside = Window.partitionBy("range").orderBy("head", "id", "mark")
+    inside = Window.partitionBy("range").orderBy("head", "id", "mark", "text")
     return (
         sketched.withColumn("next", F.lead(F.struct("text", "sketch")).over(inside))
         .filter("head = 0")
         .select(
             "id",
             "text",
-            F.length("text").alias("size"),
+            "copies",
             "sketch",
             F.col("next.text").alias("next_text"),
             F.col("next.sketch").alias("next_sketch"),
@@ -142,29 +200,60 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _compared(text: Column, own: Column, next_text: Column, next_own: Column) -> Column:
+    """Fingerprint of the edited text, and likenesses, as a struct."""
+    size = F.length(text)
+    quarter = F.floor(size / 4).cast("int")
+    edited = F.concat(F.substring(text, F.lit(1), size - quarter), F.substring(next_text, F.lit(1), quarter))
+
+    def told(pair: Column) -> Column:
+        other = pair["sketch"]
+        return F.struct(
+            F.sha2(pair["edited"].cast("binary"), 256).alias("edited_sha256"),
+            as_text(other).alias("edited_fingerprint"),
+            resemblance(own, other).alias("near_edited"),
+            resemblance(own, next_own).alias("near_next"),
+            containment(own, other).alias("contained_in_edited"),
+            containment(own, next_own).alias("contained_in_next"),
+        )
+
+    # The arrays name the edited text and its sketch, so that they are computed once.
+    with_sketch = F.transform(F.array(edited), lambda e: F.struct(e.alias("edited"), sketch(e).alias("sketch")))
+    return F.transform(with_sketch, told)[0]
+
+
 def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every row's text, edited text and next text, compared.
 
     The edited text has its last quarter (rounded down, in characters) replaced by as
     many first characters of the next row's text, or all of it if shorter. Null texts are
-    empty; of rows with one key those with equal texts are interchangeable. A single row
-    is next to itself. An empty table gives an empty result.
+    empty, null keys come first; keys are whole numbers of any size. Of rows with one key
+    the next is by a hash of the text, and a row's copy is next to it, but for the last one.
+    A single row is next to itself. An empty table gives an empty result.
     """
     rows = with_next(docs, key, text)
-    quarter = F.floor(F.col("size") / 4).cast("int")
-    edited = F.concat(
-        F.substring(F.col("text"), F.lit(1), F.col("size") - quarter),
-        F.substring(F.col("next_text"), F.lit(1), quarter),
+    body, own = F.col("text"), F.col("sketch")
+    last = _compared(body, own, F.col("next_text"), F.col("next_sketch"))
+    others = F.array_repeat(_compared(body, own, body, own), (F.col("copies") - 1).cast("int"))
+    all_of = F.when(F.col("copies") == 1, F.array(last)).otherwise(F.concat(F.array(last), others))
+    rows = rows.select(
+        "id",
+        F.length("text").cast("long").alias("n_chars"),
+        as_text(own).alias("fingerprint"),
+        F.round(distinct_shingles(own)).cast("long").alias("n_shingles"),
+        F.explode(all_of).alias("c"),
     )
-    rows = rows.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
     return rows.select(
         F.col("id").alias(key),
-        F.col("size").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "n_chars",
+        "c.edited_sha256",
+        "fingerprint",
+        "c.edited_fingerprint",
+        "c.near_edited",
+        "c.near_next",
+        "c.contained_in_edited",
+        "c.contained_in_next",
+        "n_shingles",
     )
 
 
