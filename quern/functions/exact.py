@@ -19,35 +19,48 @@ FINEST = 6
 
 _LOW_BITS = 20
 
-#: Decimal types of the first factor and of each other one, so that the product of
-#: three is still exact.
-_FIRST, _OTHER = "decimal(18,6)", "decimal(9,6)"
+#: Decimal types of the only factor, of the first of several, and of each other one, so
+#: that the product of three is still exact; and the amounts that they do not hold.
+_ONLY, _FIRST, _OTHER = "decimal(22,6)", "decimal(18,6)", "decimal(9,6)"
+_LIMITS = {_ONLY: 9e15, _FIRST: 1e12, _OTHER: 1e3}
+
+#: Whole numbers of smallest units, and their products, that a long does not hold.
+_MOST_UNITS = 9.2e18
 
 
 def _either(factors: tuple[tuple[Column, int], ...], name: str | None) -> tuple[Column, Column]:
     """The product in whole units or else as a decimal; one of the two is null."""
-    units, finer = None, F.lit(False)
+    units, size, finer, large = None, None, F.lit(False), F.lit(False)
     for column, decimals in factors:
         scaled = column * F.lit(float(10**decimals))
         whole = F.rint(scaled)
         # Off by more than the error of a double; so is the infinite.
         off = F.abs(whole) * F.lit(2.3e-16) + F.lit(1e-5)
-        finer = finer | (F.abs(scaled - whole) > off) | F.isnan(scaled)
+        # Beyond 2^53 doubles leave out whole numbers, and NaN is beyond it.
+        finer = finer | (F.abs(scaled - whole) > off) | (F.abs(scaled) > F.lit(2.0**53))
+        if size is not None:
+            large = large | (F.abs(size * scaled) >= F.lit(_MOST_UNITS))
+        size = scaled if size is None else size * scaled
         whole = whole.cast("bigint")
         units = whole if units is None else units * whole
     exact = f"decimal(38,{FINEST * len(factors)})"
-    fine, finite, too_fine = None, F.lit(True), F.lit(False)
+    fine, finite, too_fine, too_large = None, F.lit(True), F.lit(False), F.lit(False)
     for i, (column, _) in enumerate(factors):
+        kind = _OTHER if i else _FIRST if len(factors) > 1 else _ONLY
         micros = column * F.lit(float(10**FINEST))
         off = F.abs(micros) * F.lit(1e-15) + F.lit(1e-6)
         too_fine = too_fine | (F.abs(micros - F.rint(micros)) > off)
+        too_large = too_large | (F.abs(column) >= F.lit(_LIMITS[kind]))
         finite = finite & (F.abs(column) < F.lit(float("inf")))
-        part = column.cast(_OTHER if i else _FIRST)
+        part = column.cast(kind)
         fine = part if fine is None else fine * part
     label = name or factors[0][0]._jc.toString()
-    error = F.raise_error(F.lit(f"an amount in {label} has more than {FINEST} decimals"))
-    fine = F.when(finite, F.when(too_fine, error.cast(exact)).otherwise(fine.cast(exact)))
-    return F.when(~finer, units), F.when(finer, fine)
+    error = lambda what: F.raise_error(F.lit(f"an amount in {label} {what}"))
+    big = error("is too large to be summed exactly")
+    small = error(f"has more than {FINEST} decimals")
+    fine = F.when(too_large, big.cast(exact)).when(too_fine, small.cast(exact)).otherwise(fine.cast(exact))
+    units = F.when(large, big.cast("bigint")).otherwise(units)
+    return F.when(~finer, units), F.when(finer & finite, fine)
 
 
 def _total(units: Column, fine: Column, decimals: int, factors: int) -> Column:
@@ -78,7 +91,9 @@ def amount(*factors: tuple[Column, int], name: str | None = None) -> Column:
     first where any factor has more decimals than stated. A factor that is null,
     NaN or infinite makes the product null. More than :data:`FINEST` decimals, beyond
     the error of a double, raise an error that names the column (``name`` or the
-    first factor's).
+    first factor's). So do amounts too large: a product of 9.2e18 units or more, or, where
+    a factor has more decimals than stated or 2^53 units, 9e15 alone, 1e12 as the first of
+    several factors or 1000 as another.
     """
     units, fine = _either(factors, name)
     return F.struct(units.alias("units"), fine.alias("fine"))
