@@ -1,11 +1,14 @@
 """License scans by diagonal voting.
 
 The words of every text are hashed in rolling k-grams and joined to the places that
-their hashes have in license templates. A place in the text less its place in the
-template is a diagonal; a copy of a template is many k-grams on one diagonal, or on
-neighbouring ones where words were added or left out. Diagonals are summed up, those
-that neighbour each other merged, and a merged span counts as a copy if the template
-words under its k-grams make up enough of the template.
+their hashes have in license templates; a hit counts if its words are the template's, one
+by one. A place in the text less its place in the template is a diagonal; a copy of a
+template is many k-grams on one diagonal, or on neighbouring ones where words were added or
+left out. Diagonals are summed up, and those that neighbour each other merged into bands.
+Bands that follow each other in the text and in the template, at most :data:`GAP` words
+apart, are one span, and a span counts as a copy if the template words under its k-grams
+make up enough of the template. Of copies that share words of the text, as those of two
+versions of one license do, the one with most words stays.
 
 Three phrases are also looked for directly; the places where they stand are counted.
 """
@@ -20,10 +23,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import documents, text_of
 
-#: Words of a k-gram; neighbouring diagonals differ by at most so much; and the share of
-#: a template's words that a span must cover.
+#: Words of a k-gram; neighbouring diagonals differ by at most so much; words of the text
+#: between bands of one span, at most; and the share of a template's words that a span covers.
 GRAM = 3
 NEIGHBOURS = 3
+GAP = 60
 COVER = 0.8
 
 #: Score of a text with a phrase and no copy.
@@ -98,6 +102,39 @@ TEMPLATES = [
         "cc-by-sa-4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    ("cc-by-sa-4.0", "CC BY-SA 4.0"),
+    (
+        "cc0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring "
+        "rights to this work.",
+    ),
+    ("cc0-1.0", "CC0 1.0 Universal"),
+    (
+        "lgpl-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the "
+        "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 "
+        "of the License, or (at your option) any later version.",
+    ),
+    (
+        "lgpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the "
+        "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version.",
+    ),
+    (
+        "agpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the "
+        "GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version.",
+    ),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("lgpl-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("agpl-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
 _WORD = re.compile(WORD.encode())
@@ -111,10 +148,14 @@ def key_of(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("tid"), F.octet_length(text).alias("size")]
 
 
-def gram_hashes(text: Column, k: int = GRAM) -> Column:
-    """Hashes of all rolling k-grams of the words of ``text``, lower-cased in A-Z."""
+def words_of(text: Column) -> Column:
+    """The words of ``text``, lower-cased in A-Z."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.regexp_extract_all(F.translate(text, upper, lower), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.translate(text, upper, lower), F.lit(WORD), F.lit(0))
+
+
+def gram_hashes(words: Column, k: int = GRAM) -> Column:
+    """Hashes of all rolling k-grams of ``words``."""
     return F.transform(
         F.array(F.transform(words, lambda w: F.xxhash64(w))),  # named, to be computed once
         lambda h: F.when(F.size(h) < k, F.array().cast("array<long>")).otherwise(
@@ -127,60 +168,87 @@ def gram_hashes(text: Column, k: int = GRAM) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """``(hash, template, at, label, words)``: a row for each place in each template."""
+    """``(hash, gram, template, at, label, words)``: a row for each place in each template."""
     rows = [
         (i, label, text, len(_WORD.findall(text.encode().lower())))
         for i, (label, text) in enumerate(templates)
     ]
     table = spark.createDataFrame(rows, "template int, label string, text string, words int")
-    return table.select(
-        "template", "label", "words", F.posexplode(gram_hashes(F.col("text"))).alias("at", "hash")
-    )
+    table = table.withColumn("w", words_of(F.col("text")))
+    table = table.select("template", "label", "words", "w", F.posexplode(gram_hashes(F.col("w"))).alias("at", "hash"))
+    return table.withColumn("gram", F.slice("w", F.col("at") + 1, F.lit(GRAM))).drop("w")
 
 
 def copies(
     docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None
 ) -> DataFrame:
-    """``(tid, size, label, start, end, cover)``: spans of texts that copy a template.
+    """``(tid, size, label, start, end, n, cover)``: spans of texts that copy a template.
 
-    ``start`` and ``end`` are words, from 0, the end excluded; ``cover`` is the share of
-    the template's words. A copy with more than ``NEIGHBOURS`` words put in or left out
-    at one place is two spans. Equal texts are found once.
+    ``start`` and ``end`` are words, from 0, the end excluded; ``n`` are the words of the
+    text that are the template's, and ``cover`` is their share of the template. Lone k-grams
+    join no other band. Equal texts are found once.
     """
     k = GRAM
     # The templates are fixed and few, so their places fit in every task.
     places = F.broadcast(template_grams(docs.sparkSession, templates or TEMPLATES))
     body = text_of(text)
-    grams = docs.select(*key_of(body), F.posexplode(gram_hashes(body)).alias("pos", "hash"))
-    hits = grams.join(places, "hash")
+    told = docs.select(*key_of(body), words_of(body).alias("w"))
+    grams = told.select("tid", "size", "w", F.posexplode(gram_hashes(F.col("w"))).alias("pos", "hash"))
+    hits = grams.join(places, "hash").filter(F.slice("w", F.col("pos") + 1, F.lit(k)) == F.col("gram"))
     lane = ["tid", "size", "template", "label", "words"]
     votes = hits.groupBy(*lane, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set(F.struct("pos", "at")).alias("found")
     )
     along = Window.partitionBy("tid", "size", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOURS, F.lit(True))
-    merged = (
+    bands = (
         votes.withColumn("new", apart.cast("int"))
         .withColumn("band", F.sum("new").over(along))
         .groupBy(*lane, "band")
         .agg(F.flatten(F.collect_list("found")).alias("found"))
+        .withColumn("lone", F.size("found") == 1)
+    )
+    each = lambda name: F.transform("found", lambda f: f[name])
+    for name, least, most in (("pos", "start", "stop"), ("at", "low", "high")):
+        bands = bands.withColumn(least, F.array_min(each(name))).withColumn(most, F.array_max(each(name)))
+    # Bands in order of the text: one that goes on in the template goes on a span.
+    after = Window.partitionBy("tid", "size", "template", "lone").orderBy("start", "low", "band")
+    before = lambda c: F.lag(c).over(after)
+    follows = (
+        ~F.col("lone")
+        & (F.col("stop") > before("stop"))
+        & (F.col("low") > before("low"))
+        & (F.col("high") > before("high"))
+        & (F.col("start") - before("stop") <= GAP + k)
     )
-    covered = F.size(
-        F.array_distinct(
-            F.flatten(F.transform("found", lambda f: F.sequence(f["at"], f["at"] + (k - 1))))
+    spans = (
+        bands.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int"))
+        .withColumn("span", F.sum("new").over(after))
+        .groupBy(*lane, "lone", "span")
+        .agg(
+            F.flatten(F.collect_list("found")).alias("found"),
+            F.min("start").alias("start"),
+            (F.max("stop") + k).alias("end"),
         )
     )
-    return (
-        merged.withColumn("cover", covered / F.col("words"))
+    covered = lambda name: F.size(
+        F.array_distinct(F.flatten(F.transform("found", lambda f: F.sequence(f[name], f[name] + (k - 1)))))
+    )
+    kept = (
+        spans.withColumn("cover", covered("at") / F.col("words"))
         .filter(F.col("cover") >= COVER)
-        .select(
-            "tid",
-            "size",
-            "label",
-            F.array_min(F.transform("found", lambda f: f["pos"])).alias("start"),
-            (F.array_max(F.transform("found", lambda f: f["pos"])) + k).alias("end"),
-            "cover",
-        )
+        .select("tid", "size", "template", "label", "start", "end", covered("pos").alias("n"), "cover")
+    )
+    # Copies that share words are one cluster.
+    text_order = Window.partitionBy("tid", "size").orderBy("start", "end", "template", "n")
+    reached = F.max("end").over(text_order.rowsBetween(Window.unboundedPreceding, -1))
+    clusters = kept.withColumn("apart", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
+    clusters = clusters.withColumn("cluster", F.sum("apart").over(text_order))
+    best = Window.partitionBy("tid", "size", "cluster").orderBy(F.desc("n"), F.desc("cover"), "template", "start")
+    return (
+        clusters.withColumn("rank", F.row_number().over(best))
+        .filter("rank = 1")
+        .select("tid", "size", "label", "start", "end", "n", "cover")
     )
 
 
@@ -274,7 +342,7 @@ WITH told AS (
 ), template_places AS (
   SELECT t, label, w, len(w) AS words, unnest(range(1, len(w) - 1)) AS i FROM templates
 ), hits AS (
-  SELECT p.r, q.t, q.label, q.words, q.i AS place, p.i - q.i AS diagonal
+  SELECT p.r, q.t, q.label, q.words, q.i - 1 AS place, p.i - 1 AS pos, p.i - q.i AS diagonal
   FROM places p JOIN template_places q
     ON p.w[p.i] = q.w[q.i] AND p.w[p.i + 1] = q.w[q.i + 1] AND p.w[p.i + 2] = q.w[q.i + 2]
 ), diagonals AS (
@@ -282,14 +350,38 @@ WITH told AS (
          CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) <= {NEIGHBOURS}
            THEN 0 ELSE 1 END AS s
   FROM (SELECT DISTINCT r, t, diagonal FROM hits)
-), bands AS (
+), numbered AS (
   SELECT r, t, diagonal, sum(s) OVER (PARTITION BY r, t ORDER BY diagonal) AS band FROM diagonals
-), covers AS (
-  SELECT r, t, band, any_value(label) AS label, count(DISTINCT place + j) / any_value(words) AS cover
-  FROM (SELECT *, unnest([0, 1, 2]) AS j FROM hits JOIN bands USING (r, t, diagonal))
-  GROUP BY r, t, band
+), banded AS (
+  SELECT * FROM hits JOIN numbered USING (r, t, diagonal)
+), bands AS (
+  SELECT r, t, band, count(*) = 1 AS lone, min(pos) AS low_pos, max(pos) AS high_pos,
+         min(place) AS low, max(place) AS high
+  FROM banded GROUP BY r, t, band
+), followed AS (
+  SELECT *, CASE WHEN NOT lone AND high_pos > lag(high_pos) OVER a AND low > lag(low) OVER a
+                   AND high > lag(high) OVER a AND low_pos - lag(high_pos) OVER a <= {GAP + GRAM}
+              THEN 0 ELSE 1 END AS s
+  FROM bands WINDOW a AS (PARTITION BY r, t, lone ORDER BY low_pos, low, band)
+), linked AS (
+  SELECT r, t, band, lone,
+         sum(s) OVER (PARTITION BY r, t, lone ORDER BY low_pos, low, band) AS span FROM followed
+), spans AS (
+  SELECT r, t, lone, span, any_value(label) AS label, min(pos) AS first, max(pos) + {GRAM} AS past,
+         count(DISTINCT pos + j) AS n, count(DISTINCT place + j) / any_value(words) AS cover
+  FROM (SELECT *, unnest([0, 1, 2]) AS j FROM banded JOIN linked USING (r, t, band))
+  GROUP BY r, t, lone, span
+), kept AS (
+  SELECT *, CASE WHEN first >= max(past) OVER (PARTITION BY r ORDER BY first, past, t, n
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS s
+  FROM spans WHERE cover >= {COVER}
+), clusters AS (
+  SELECT *, sum(s) OVER (PARTITION BY r ORDER BY first, past, t, n) AS cluster FROM kept
+), best AS (
+  SELECT * FROM clusters
+  QUALIFY row_number() OVER (PARTITION BY r, cluster ORDER BY n DESC, cover DESC, t, first) = 1
 ), found AS (
-  SELECT r, list(DISTINCT label) AS labels, max(cover) AS cover FROM covers WHERE cover >= {COVER} GROUP BY r
+  SELECT r, list(DISTINCT label) AS labels, max(cover) AS cover FROM best GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base,
        CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
