@@ -28,6 +28,8 @@ RANGE_ROWS = 5_000
 #: Keys that repeat are collected if they have more rows than a range and than this share of
 #: the table, so at most so many.
 HOT_KEYS = 10_000
+#: Copies of a row that a task writes out at a time.
+COPIES = 10_000
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -70,7 +72,11 @@ def merge_all(rows: DataFrame, by: list[str], column: str = "sketch", k: int = K
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated shared shingles over all shingles of both; 1 for two empty texts."""
-    both = merged(a, b, k)
+    return _shared(merged(a, b, k), a, b)
+
+
+def _shared(both: Column, a: Column, b: Column) -> Column:
+    """The share of the sample ``both`` of two sketches that is in either."""
     shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
     return F.when(F.size(both) == 0, 1.0).otherwise(shared / F.greatest(F.size(both), F.lit(1)))
 
@@ -83,10 +89,14 @@ def distinct_shingles(a: Column, k: int = K) -> Column:
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of the first text's shingles that the second has; 1 if it has none."""
-    shared = resemblance(a, b, k) * distinct_shingles(merged(a, b, k), k)
+    both = merged(a, b, k)
+    return _contained(_shared(both, a, b), both, a, k)
+
+
+def _contained(near: Column, both: Column, a: Column, k: int = K) -> Column:
     own = distinct_shingles(a, k)
     return F.when(own == 0, 1.0).otherwise(
-        F.least(F.lit(1.0), shared / F.greatest(own, F.lit(1.0)))
+        F.least(F.lit(1.0), near * distinct_shingles(both, k) / F.greatest(own, F.lit(1.0)))
     )
 
 
@@ -114,7 +124,7 @@ def distinct_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _range_of(rows: DataFrame, total: int, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``range``, the number of each row's range, in order of its key and, of one key's rows, its mark."""
+    """``rows`` with ``range``, a number in order of the key and, of one key's rows, the mark."""
     cells = max(1, min(1000, math.isqrt(total)))
     shares = [i / cells for i in range(cells + 1)]
     bounds = set(rows.agg(F.percentile_approx("id", shares, 10 * cells)).first()[0] or [0])
@@ -146,20 +156,17 @@ def _range_of(rows: DataFrame, total: int, keys: DataFrame) -> DataFrame:
     return rows.withColumn("cell", cell).withColumn("range", number).drop("cell")
 
 
-def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(id, text, copies, sketch, next_text, next_sketch)``: each distinct row by the next.
+def with_next(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+    """``(id, text, sketch, next_text, next_sketch)``: each of :func:`distinct_rows` by the next.
 
-    Rows are in ascending order of ``key``, nulls first, ties by a hash of the text and then
-    the text; the last row's next is the first. Equal rows are one, with their number. The
-    order is cut into ranges: quantiles of the keys, each cut evenly again, and keys of very
-    many rows by their texts' hashes. A copy of each range's first row ends the range before
-    it, so a range needs no other one. At most a thousand bounds and :data:`HOT_KEYS` keys
-    are collected, and a row of three numbers for each of at most :data:`RANGES` ranges is
-    broadcast.
+    Rows are in ascending order of ``id``, nulls first, ties by a hash of the text and then
+    the text; the last row's next is the first. The order is cut into ranges: quantiles of
+    the keys, each cut evenly again, and keys of very many rows by their texts' hashes. A
+    copy of each range's first row ends the range before it, so a range needs no other one.
+    At most a thousand bounds and :data:`HOT_KEYS` keys are collected, and a row of three
+    numbers for each of at most :data:`RANGES` ranges is broadcast.
     """
-    rows, keys = distinct_rows(docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text")))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    rows = _range_of(rows, docs.count(), keys)
+    rows = _range_of(rows.select("id", "text", F.xxhash64("text").alias("mark")), total, keys)
     # The first row of each range, by fixed-width columns only; then its text.
     order = F.struct(F.col("id"), F.col("mark"))
     firsts = rows.groupBy("range").agg(F.min(order).alias("first"))
@@ -174,25 +181,23 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
         .select(
             "first.id",
             "text",
-            F.lit(1).cast("long").alias("copies"),
             F.col("first.mark").alias("mark"),
             F.col("ends").alias("range"),
             F.lit(1).alias("head"),
         )
     )
     # Ranges are of like size, so they are dealt out in turns.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = rows.withColumn("head", F.lit(0)).unionByName(heads)
-    ranges = ranges.repartitionById(tasks, F.pmod("range", F.lit(tasks)).cast("int"))
+    ranges = ranges.withColumn("task", F.pmod("range", F.lit(tasks)).cast("int")).repartitionById(tasks, "task")
     sketched = ranges.withColumn("sketch", sketch(F.col("text")))
-    inside = Window.partitionBy("range").orderBy("head", "id", "mark", "text")
+    inside = Window.partitionBy("task", "range").orderBy("head", "id", "mark", "text")
     return (
         sketched.withColumn("next", F.lead(F.struct("text", "sketch")).over(inside))
         .filter("head = 0")
         .select(
             "id",
             "text",
-            "copies",
             "sketch",
             F.col("next.text").alias("next_text"),
             F.col("next.sketch").alias("next_sketch"),
@@ -200,26 +205,30 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _compared(text: Column, own: Column, next_text: Column, next_own: Column) -> Column:
-    """Fingerprint of the edited text, and likenesses, as a struct."""
-    size = F.length(text)
-    quarter = F.floor(size / 4).cast("int")
-    edited = F.concat(F.substring(text, F.lit(1), size - quarter), F.substring(next_text, F.lit(1), quarter))
-
-    def told(pair: Column) -> Column:
-        other = pair["sketch"]
-        return F.struct(
-            F.sha2(pair["edited"].cast("binary"), 256).alias("edited_sha256"),
-            as_text(other).alias("edited_fingerprint"),
-            resemblance(own, other).alias("near_edited"),
-            resemblance(own, next_own).alias("near_next"),
-            containment(own, other).alias("contained_in_edited"),
-            containment(own, next_own).alias("contained_in_next"),
-        )
-
-    # The arrays name the edited text and its sketch, so that they are computed once.
-    with_sketch = F.transform(F.array(edited), lambda e: F.struct(e.alias("edited"), sketch(e).alias("sketch")))
-    return F.transform(with_sketch, told)[0]
+def _compared(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """The edited text of each row, and its and the next text's likeness to the text."""
+    size, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    head, tail = F.substring("text", F.lit(1), size - quarter), F.substring("next_text", F.lit(1), quarter)
+    # In steps, so that each array is made once.
+    rows = rows.withColumn("edited", F.concat(head, tail))
+    rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    rows = rows.withColumn("both", merged(own, edited)).withColumn("both_next", merged(own, following))
+    rows = rows.withColumn("near_edited", _shared(F.col("both"), own, edited))
+    rows = rows.withColumn("near_next", _shared(F.col("both_next"), own, following))
+    return rows.select(
+        F.col("id").alias(key),
+        size.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text(own).alias("fingerprint"),
+        as_text(edited).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        _contained(F.col("near_edited"), F.col("both"), own).alias("contained_in_edited"),
+        _contained(F.col("near_next"), F.col("both_next"), own).alias("contained_in_next"),
+        F.round(distinct_shingles(own)).cast("long").alias("n_shingles"),
+        *more,
+    )
 
 
 def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,30 +240,20 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
     the next is by a hash of the text, and a row's copy is next to it, but for the last one.
     A single row is next to itself. An empty table gives an empty result.
     """
-    rows = with_next(docs, key, text)
-    body, own = F.col("text"), F.col("sketch")
-    last = _compared(body, own, F.col("next_text"), F.col("next_sketch"))
-    others = F.array_repeat(_compared(body, own, body, own), (F.col("copies") - 1).cast("int"))
-    all_of = F.when(F.col("copies") == 1, F.array(last)).otherwise(F.concat(F.array(last), others))
-    rows = rows.select(
-        "id",
-        F.length("text").cast("long").alias("n_chars"),
-        as_text(own).alias("fingerprint"),
-        F.round(distinct_shingles(own)).cast("long").alias("n_shingles"),
-        F.explode(all_of).alias("c"),
-    )
-    return rows.select(
-        F.col("id").alias(key),
-        "n_chars",
-        "c.edited_sha256",
-        "fingerprint",
-        "c.edited_fingerprint",
-        "c.near_edited",
-        "c.near_next",
-        "c.contained_in_edited",
-        "c.contained_in_next",
-        "n_shingles",
-    )
+    rows, keys = distinct_rows(docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text")))
+    last = _compared(with_next(rows, keys, docs.count()), key)
+    if not keys.count():
+        return last
+    # All copies of a row but the last, each next to another one; a row of very many in parts.
+    others = F.col("copies") - 1
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((others - 1) / COPIES)))
+    copied = rows.filter("copies > 1").withColumn("part", parts)
+    copied = copied.withColumn("n", F.least(F.lit(COPIES), others - F.col("part") * COPIES).cast("int"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copied = copied.select("id", "text", "n").repartition(tasks).withColumn("sketch", sketch(F.col("text")))
+    copied = copied.withColumn("next_text", F.col("text")).withColumn("next_sketch", F.col("sketch"))
+    found = _compared(copied, key, "n").withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    return last.unionByName(found.drop("n"))
 
 
 def op8_bottom_k_fingerprints(spark: SparkSession, folder: str) -> DataFrame:

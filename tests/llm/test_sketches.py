@@ -81,6 +81,7 @@ def uneven(spark, n=400):
 @pytest.mark.parametrize("per_range", [5_000, 20, 1])
 def test_uneven_keys(spark, monkeypatch, per_range):
     monkeypatch.setattr(sketches, "RANGE_ROWS", per_range)
+    monkeypatch.setattr(sketches, "COPIES", 1 + per_range % 7)
     check(uneven(spark), 0.16)
 
 
